@@ -194,7 +194,7 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     full = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     buckets = materialize(keys.join(full, "key").select("key", "rep", "n", "m", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")))
     near = F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
-    pairs = buckets.where(F.col("rep") != F.col("pivot")).where(near).groupBy(F.col("rep").alias("u"), F.col("pivot").alias("v")).agg().select("u", "v")
+    pairs = buckets.where(F.col("rep") != F.col("pivot")).where(near).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
     members = buckets.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
     sets = shingle_sets(texts)
