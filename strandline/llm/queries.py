@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, embedding, langid, media, minhash, packing, sharding, token_counts
+from strandline.llm import byte_bpe, embedding, langid, licenses, media, minhash, packing, sharding, token_counts, toxicity
 from strandline.llm.common import table
 
 #: Byte limit of a shard.
@@ -48,8 +48,17 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents")).drop("text_sha256")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {q.__name__: q for q in (
-    op1_packing, op2_embedding_near_dedup, op3_token_counts, op4_byte_bpe, op5_sharding, op6_minhash, op7_language_id, op8_media_columns,
+    op1_packing, op2_embedding_near_dedup, op3_token_counts, op4_byte_bpe, op5_sharding, op6_minhash, op7_language_id, op8_media_columns, op9_license_scan, op10_toxicity,
 )}
 
 ORACLES = {
