@@ -16,26 +16,26 @@ from strandline.llm.common import table
 LANGUAGE_SHARE = 0.5
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the ids of bad; rows whose id is null stay."""
+    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones, does not call toxic."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.join(toxicity.classify(docs, chain).where("toxic").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, toxicity.classify(docs, chain).where("toxic"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language that covers LANGUAGE_SHARE of their letters."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    good = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
-    return _only(docs, good)
+    return _without(docs, langid.predict(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_SHARE)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    return _only(docs, minhash.components(docs).where("kept"))
+    return _without(docs, minhash.components(docs).where("not kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
