@@ -108,18 +108,19 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (last one: intercept) by accelerated gradient steps."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
+    """Weights (last one: intercept) by accelerated gradient steps; row i stands for n[i] equal ones."""
+    share = n / n.sum()
     x = np.column_stack([x, np.ones(len(x))])
     v = np.ones(x.shape[1])
     for _ in range(20):  # the largest eigenvalue bounds the step
-        v = x.T @ (x @ v)
+        v = x.T @ (share * (x @ v))
         v /= np.linalg.norm(v) or 1
-    step = 1 / (0.25 * float(v @ (x.T @ (x @ v))) / len(x) + ridge)
+    step = 1 / (0.25 * float(v @ (x.T @ (share * (x @ v)))) + ridge)
     w = look = np.zeros(x.shape[1])
     keep = np.r_[np.full(x.shape[1] - 1, ridge), 0]
     for k in range(rounds):
-        new = look - step * (x.T @ (sigmoid(x @ look) - y) / len(x) + keep * look)
+        new = look - step * (x.T @ (share * (sigmoid(x @ look) - y)) + keep * look)
         look, w = new + k / (k + 3) * (new - w), new
     return w
 
@@ -141,17 +142,17 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """One weight vector for each column of y, later ones over features and out-of-fold probabilities."""
+def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """One weight vector for each column of y, later ones over features and out-of-fold probabilities; n counts the documents of a row."""
     weights = []
     for k in range(y.shape[1]):
-        weights.append(logistic(x, y[:, k]))
+        weights.append(logistic(x, y[:, k], n))
         if k + 1 < y.shape[1]:
             out = np.zeros(len(x))
             for f in range(FOLDS):
                 test = folds == f
                 if test.any() and not test.all():
-                    out[test] = apply(logistic(x[~test], y[~test, k]), x[test])
+                    out[test] = apply(logistic(x[~test], y[~test, k], n[~test]), x[test])
             x = np.column_stack([x, out])
     return weights
 
@@ -174,11 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     got = rows.mapInArrow(hits, "doc_id long, hits array<int>, " + ", ".join(f"{c} boolean" for c in CATEGORIES)).toArrow()
     got = got.sort_by("doc_id")
-    x = np.zeros((got.num_rows, len(names)))
-    for i, at in enumerate(got.column("hits").to_pylist()):
-        x[i, at] = 1
-    y = np.column_stack([np.asarray(got.column(c)).astype(float) for c in CATEGORIES])
-    return Chain(names, fit_chain(x, y, np.arange(len(x)) % FOLDS))
+    marks = zip(*(got.column(c).to_pylist() for c in CATEGORIES))
+    # equal documents of a fold are one row with a count: most have no feature at all
+    equal = Counter((tuple(at), m, i % FOLDS) for i, (at, m) in enumerate(zip(got.column("hits").to_pylist(), marks)))
+    x, y = np.zeros((len(equal), len(names))), np.zeros((len(equal), len(CATEGORIES)))
+    for i, (at, m, _) in enumerate(equal):
+        x[i, list(at)], y[i] = 1, m
+    return Chain(names, fit_chain(x, y, np.array([f for _, _, f in equal]), np.array(list(equal.values()), dtype=float)))
 
 
 def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
