@@ -78,20 +78,29 @@ def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    low, high = np.empty(PERMS, np.uint64), np.empty(PERMS, np.uint64)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of 2 * PERMS values for each set; none is empty."""
+    flat = np.concatenate(sets)
+    first = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.empty((len(sets), PERMS, 2), np.uint64)
+    v = np.empty_like(flat)
     for i in range(PERMS):
-        v = (s ^ _B[i]) * _A[i]
-        low[i], high[i] = v.min(), v.max()
-    return np.stack([low, high], axis=1).ravel()
+        np.bitwise_xor(flat, _B[i], out=v)
+        np.multiply(v, _A[i], out=v)
+        out[:, i, 0] = np.minimum.reduceat(v, first)
+        out[:, i, 1] = np.maximum.reduceat(v, first)
+    return out.reshape(len(sets), -1)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = mix(sig).reshape(BANDS, ROWS) * _POW[1 : ROWS + 1]
-    return mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD).view(np.int64)
+def band_keys(mixed: np.ndarray) -> np.ndarray:
+    """BANDS keys for each row of mixed signature values."""
+    rows = mixed.reshape(len(mixed), BANDS, ROWS) * _POW[1 : ROWS + 1]
+    return mix(rows.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD).view(np.int64)
 
 
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+#: Shingles whose permutations are evaluated at once: few enough for a core's cache.
+AT_ONCE = 1 << 16
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -99,17 +108,29 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, bands, short = [], [], [], []
+            n, digest, bands, short, sets = [], [], [], [], []
+
+            def flush():
+                if sets:
+                    mixed = mix(signatures(sets))
+                    bands.extend(band_keys(mixed))
+                    short.extend(x.tobytes() for x in (mixed >> np.uint64(56)).astype(np.uint8))
+                    sets.clear()
+
+            held = 0
             for t in texts_of(b):
                 s = shingles(t.encode())
                 n.append(len(s))
                 if len(s):
-                    sig = signature(s)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(sig))
-                    short.append((mix(sig) >> np.uint64(56)).astype(np.uint8).tobytes())
-                else:
+                    sets.append(s)
+                    held += len(s)
+                if not len(s) or held > AT_ONCE:
+                    flush()
+                    held = 0
+                if not len(s):
                     digest.append(None), bands.append(None), short.append(None)
+            flush()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                 [x.split()[0] for x in SKETCH.split(", ")],
