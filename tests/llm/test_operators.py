@@ -171,3 +171,13 @@ def test_toxicity(spark, docs, none):
     assert {r.doc_id for r in toxicity.classify(d, chain).where("toxic").collect()} == {i for i in range(300) if i % 5 == 0}
     assert not any(r.toxic for r in toxicity.classify(docs, chain).collect())
     assert toxicity.classify(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_encoder_equals_the_library():
+    t, encode = tok(), packing.encoder(JSON)
+    parts = ["'s", "'LL", "<|endoftext|>", "<|endoftext|", "  ", "\r\n", "\t", "\x85", "​", "é", "日本", "12", "²", "!?", "😀", "x" * 500, " " * 300, " a"]
+    cases = ["".join(random.Random(i).choices(parts, k=40)) for i in range(300)]
+    cases += ["".join(f"a{chr(c)}b 1{chr(c)}2  {chr(c)} !{chr(c)}?" for c in range(i, i + 64)) for i in range(0, 0x3000, 64)]
+    assert all(encode(x) == t.encode(x, add_special_tokens=False).ids for x in cases)
+    other = P.path("word_bpe_49k.json")
+    assert len(packing.encoder(other)("plain words")) == 2
