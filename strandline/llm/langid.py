@@ -9,6 +9,7 @@ The model holds counts of LANGS x 2^BITS cells at most, so it can be broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,11 @@ PREDICTED = "doc_id long, lang_pred string, score double, n_words long, spans ar
 
 
 def cells_of(word: str) -> list[int]:
-    """Cells of the padded word's 2- to 4-grams and of the whole word."""
-    w = f"<{word}>"
-    mask = (1 << BITS) - 1
-    return [_mix(w[i : i + n]) & mask for n in (2, 3, 4) for i in range(len(w) - n + 1)] + [_mix("w" + w) & mask]
-
-
-def _mix(s: str) -> int:
-    h = 2166136261
-    for ch in s:
-        h = ((h ^ ord(ch)) * 16777619) & 0xFFFFFFFF
-    return h ^ (h >> 15)
+    """Cells of the padded word's 2- to 4-grams (of UTF-16 units) and of the whole word."""
+    w = f"<{word}>".encode("utf-16-le")
+    hashes = [crc32(w[i : i + n]) for n in (4, 6, 8) for i in range(0, len(w) - n + 1, 2)]
+    hashes.append(crc32(w, 1))
+    return [(h ^ h >> 16) & ((1 << BITS) - 1) for h in hashes]
 
 
 def script_of(word: str) -> int:
@@ -54,15 +49,17 @@ class Model:
     def __init__(self, langs: list[str], logp: np.ndarray, scripts: np.ndarray):
         """logp: cells x languages; scripts: whether a language was seen with a script."""
         self.langs, self.logp, self.scripts, self.memo = langs, logp, scripts, {}
+        self.narrow = [a.any() and not a.all() for a in scripts]
 
     def word(self, w: str) -> np.ndarray:
         if (s := self.memo.get(w)) is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            s = self.logp[cells_of(w)].mean(axis=0) * min(len(w), 12)
-            allowed = self.scripts[script_of(w)]
-            if allowed.any():
-                s = np.where(allowed, s, s.max() - 40.0)
+            cells = cells_of(w)
+            s = self.logp.take(cells, axis=0).sum(axis=0) * (min(len(w), 12) / len(cells))
+            script = script_of(w)
+            if self.narrow[script]:
+                s = np.where(self.scripts[script], s, s.max() - 40.0)
             self.memo[w] = s = s - s.max()
         return s
 
