@@ -163,6 +163,41 @@ def test_licenses_against_every_window(docs, none):
     assert got[9] == "MIT" and got[6] == "" and licenses.scan(none).count() == 0
 
 
+def test_licenses_find_the_notices_of_the_tables(spark):
+    notice = r"(?i)(?:released|licensed) under [^\n]*?(?:licen[sc]e(?:, version \d(?:\.\d)?)?|cc [a-z-]+ \d\.\d)\."
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.lower("text").contains("licens"))
+    rows = d.select("doc_id", F.regexp_extract_all("text", F.lit(notice), F.lit(0)).alias("said")).collect()
+    got = {r.doc_id: r.licenses for r in licenses.scan(d).collect()}
+    known = {"cc by-nc": "CC-BY-NC-4.0", "mit license": "MIT", "apache": "Apache-2.0", "gnu general": "GPL-3.0"}
+    assert len(rows) == len(got) == 262 and all(r.said for r in rows)
+    for r in rows:
+        assert got[r.doc_id] == ",".join(sorted({v for k, v in known.items() if k in " ".join(r.said).lower()}))
+
+
+@pytest.mark.parametrize("family, text", [
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"), ("LGPL-2.1", "It is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "It is licensed under the GNU Affero General Public License, version 3."), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"), ("ISC", "Released under the ISC License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+])
+def test_license_families(family, text):
+    s = licenses.Scanner(licenses.TEMPLATES)
+    found = [k for k, *_ in s.scan(f"some words before it. {text} and some words after it", 0.75)]
+    assert any(k == family or k.startswith(family + "-") for k in found)
+
+
+def test_license_full_texts():
+    import re
+
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for k in ("MIT", "ISC", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MPL-1.1", "CC0-1.0", "Unlicense"):
+        words = re.findall(r"\S+", licenses.TEMPLATES[f"{k}-text"])
+        cut = " ".join(words[: len(words) * 9 // 10])  # without the last tenth
+        assert f"{k}-text" in [x for x, *_ in s.scan(f"file header\n{cut}\nmore", 0.75)]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    assert [x for x, *_ in s.scan(gpl, 0.75)] == ["GPL-notice"]
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, f"plain words number {i % 7} here" + (" you idiot and scum" if i % 5 == 0 else "")) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
