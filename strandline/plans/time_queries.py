@@ -50,6 +50,34 @@ FROM (SELECT DISTINCT o_orderkey FROM orders) o FULL JOIN u ON o.o_orderkey = u.
     lambda spark, sf: merge.accounting(table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 )
 
+# Three of the queries above take subsets of ids; these take every order, against a copy with other stamps, and every use.
+def _all_versions(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("stamp"), "o_orderstatus")
+    return o, o.withColumn("stamp", F.col("stamp") + F.col("o_orderkey") % 5 - 2)
+
+
+ALL_SIDES = """a AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS stamp, o_orderstatus FROM orders),
+b AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT + o_orderkey % 5 - 2 AS stamp, o_orderstatus FROM orders)"""
+
+register("sync_verdicts_all", f"""WITH {ALL_SIDES} SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+  CASE WHEN b.stamp IS NULL OR a.stamp > b.stamp THEN 'upload' WHEN a.stamp IS NULL OR b.stamp > a.stamp THEN 'download' ELSE 'same' END AS verdict
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")(lambda spark, sf: merge.verdicts(*_all_versions(spark, sf), "o_orderkey", "stamp"))
+
+register("last_writer_wins_all", f"""WITH {ALL_SIDES},
+u AS (SELECT *, 1 AS l, false AS deleted FROM a UNION ALL SELECT *, 0, o_orderstatus = 'P' FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY stamp DESC, l DESC) AS r FROM u)
+SELECT o_orderkey, stamp, o_orderstatus FROM k WHERE r = 1 AND NOT deleted""")(
+    lambda spark, sf: (lambda a, b: merge.last_writer(a.withColumn("deleted", F.lit(False)), b.withColumn("deleted", F.col("o_orderstatus") == "P"), "o_orderkey", "stamp", "deleted"))(*_all_versions(spark, sf))
+)
+
+register("fragment_accounting_all", """
+WITH u AS (SELECT l_orderkey AS o_orderkey, count(*) AS uses FROM lineitem GROUP BY 1)
+SELECT coalesce(o.o_orderkey, u.o_orderkey) AS o_orderkey,
+  CASE WHEN o.o_orderkey IS NULL THEN 'unknown' WHEN uses IS NULL THEN 'unused' WHEN uses > 1 THEN 'repeated' ELSE 'once' END AS state
+FROM (SELECT DISTINCT o_orderkey FROM orders) o FULL JOIN u ON o.o_orderkey = u.o_orderkey""")(
+    lambda spark, sf: merge.accounting(table(spark, sf, "orders"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+)
+
 register("clip_overlaps", f"""
 SELECT event_id, {MS} AS ms, greatest(least({MS} + 3600000, coalesce(lead({MS}) OVER (PARTITION BY user_id ORDER BY ts, event_id), {MS} + 3600000)), {MS} + 250) AS end_ms FROM events""")(
     lambda spark, sf: segments.clip_overlaps(events(spark, sf).withColumn("end_ms", F.col("ms") + 3_600_000), "user_id", "ms", "end_ms", "event_id", 250).select("event_id", "ms", "end_ms")
@@ -75,6 +103,14 @@ SELECT a.user_id, a.id AS a_id, b.id AS b_id FROM e a JOIN e b ON a.user_id = b.
     )
 )
 
+register("interval_overlaps_all", f"""
+WITH e AS (SELECT user_id, event_id AS id, {MS} AS s, {MS} + 7200000 AS z FROM events)
+SELECT a.user_id, a.id AS a_id, b.id AS b_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.s < b.z AND a.z > b.s WHERE a.id < b.id""")(
+    lambda spark, sf: (lambda e: segments.interval_overlaps(e, e, "user_id", 7_200_000).where("a_id < b_id"))(
+        events(spark, sf).select("user_id", F.col("event_id").alias("id"), F.col("ms").alias("start"), (F.col("ms") + 7_200_000).alias("end"))
+    )
+)
+
 register("gap_sessions", f"""
 WITH n AS (SELECT user_id, event_id, {MS} AS ms, CASE WHEN {MS} - lag({MS}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000 THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id)::BIGINT AS session FROM n)
