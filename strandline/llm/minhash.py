@@ -98,13 +98,13 @@ def band_keys(mixed: np.ndarray) -> np.ndarray:
     return mix(rows.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+SKETCH = "doc_id long, mark string, n_shingles long, digest binary, bands array<long>, sketch binary"
 #: Shingles whose permutations are evaluated at once: few enough for a core's cache.
 AT_ONCE = 1 << 16
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, digest of the set, band keys and one byte of each signature value."""
+    """Digest of the text (mark), set size, digest of the set, band keys and one byte of each signature value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,11 +132,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     digest.append(None), bands.append(None), short.append(None)
             flush()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                [b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                 [x.split()[0] for x in SKETCH.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("mark"), "text").mapInArrow(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -203,23 +203,23 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Documents link when 100 * intersection >= percent * union of their shingle sets. Null texts and
     texts without a word have an empty set and are a component of their own. doc_id names a document:
-    rows that repeat it fall into one component. Repeated rows are all returned; other columns are
-    ignored; an empty table gives no rows.
+    rows that repeat it fall into one component, whatever their texts. component_id is the smallest id of
+    a component; rows without an id take part and have kept = false, and a component of such rows
+    only has a null component_id. All rows are returned; other columns are ignored; an empty table gives no rows.
     """
     rows = materialize(sketches(docs))
     classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
-    classes = materialize(classes.where("rep is not null"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))  # a key of the class, fixed by the checkpoint
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     buckets = materialize(keys.join(full, "key").select("key", "rep", "n", "m", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")))
     near = F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
     pairs = buckets.where(F.col("rep") != F.col("pivot")).where(near).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
     members = buckets.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
-    sets = shingle_sets(texts)
-    sets = materialize(sets.dropDuplicates(["rep"]))
+    texts = docs.where("text is not null").groupBy(F.md5("text").alias("mark")).agg(F.first("text").alias("text"))
+    sets = materialize(shingle_sets(texts.join(classes.select("rep", "mark").join(members, "rep"), "mark")))
     links = materialize(confirmed(pairs, sets, percent))
     comp = connected_components(links)
     mixed = buckets.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -228,10 +228,18 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     inside = mixed.join(several, "key").join(classes.select("rep", "sketch"), "rep")
     inside = inside.select("key", "rep", F.col("component").alias("comp"), "n", "sketch", "pivot")
     more = materialize(confirmed(cross_pairs(inside, percent), sets, percent))
-    if more.limit(1).count():
-        comp = connected_components(links.unionByName(more))
-    label = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    label = label.select("digest", F.coalesce("component", "rep").alias("component_id"))
-    some = rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(label, "digest").drop("digest")
-    none = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = materialize(rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest").drop("digest"))
+    ids = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").drop("w")
+    same = own.join(ids, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    if more.limit(1).count() or same.limit(1).count():
+        # full joins: Spark 4.1 fails on a union of these checkpointed tables (key not found in UnionBase.rewriteConstraints)
+        comp = connected_components(links.join(more, ["u", "v"], "full").join(same, ["u", "v"], "full"))
+    label = classes.select("rep", "least").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    label = materialize(label.select("rep", "least", F.coalesce("component", "rep").alias("component")))
+    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    some = own.join(label.join(least, "component").select("rep", "component_id"), "rep").select("doc_id", "n_shingles", "component_id")
+    # an id whose other row has words takes that row's component
+    none = rows.where("digest is null").select("doc_id", "n_shingles")
+    named = some.join(none.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    none = none.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

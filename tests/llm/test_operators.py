@@ -110,6 +110,17 @@ def test_minhash(docs, none):
     assert minhash.components(none).count() == 0
 
 
+def test_minhash_without_ids_and_with_two_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (7, b + " end"), (1, a.replace("a30", "x")), (None, None), (None, c), (20, c), (20, b), (30, "d " * 9), (30, None), (31, "")]
+    got = minhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, 1), (None, 1), (1, 1), (None, 7), (7, 7), (None, 7), (20, 7), (20, 7), (None, None), (30, 30), (30, 30), (31, 31)]
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
+    alone = minhash.components(spark.createDataFrame([(None, c), (None, c)], "doc_id long, text string")).collect()
+    assert [(r.n_shingles, r.component_id, r.kept) for r in alone] == [(56, None, False)] * 2
+
+
 def test_embedding(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
