@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     Alternates large-star and small-star steps, written as partially aggregated minima and
     equi-joins, so a node with very many neighbours is never gathered into one task and a skewed
     join can be split by adaptive execution. Every round is cut by a checkpoint. Returns (node,
-    component), nodes without edges are not in it.
+    component), nodes without edges are not in it. Labels that still change after max_rounds are an error.
     """
     e = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -62,5 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if tuple(now) == sign:
             break
         sign = tuple(now)
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.unionByName(e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component")))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import byte_bpe, embedding, langid, licenses, media, minhash, packing, sharding, token_counts, toxicity
+from strandline.llm.common import connected_components
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 _r = random.Random(5)
@@ -121,6 +122,13 @@ def test_minhash_without_ids_and_with_two_texts_of_one_id(spark):
     assert [(r.n_shingles, r.component_id, r.kept) for r in alone] == [(56, None, False)] * 2
 
 
+def test_components_that_do_not_converge_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError, match="converge"):
+        connected_components(path, max_rounds=1)
+
+
 def test_embedding(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
