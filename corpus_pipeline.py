@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_language), ("near_dedup", drop_near_copies), ("packing", pack)]
-#: Learned models and hashing can't be stated in SQL; tests compare with a brute-force version.
+#: Learned models and hashing can't be stated in SQL; the pipeline as a whole has no brute-force test yet.
 ORACLE_SQL = None
 
 
