@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; one below the warehouse only
+    where it is unset and master is local (tests, bench)."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/strandline-shared"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; a folder of its own only where none is set (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strandline-checkpoints")
+        sc.setCheckpointDir(shared_dir(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -33,19 +49,28 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list:
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
 
 
+def carried(docs: DataFrame, names: list[str]) -> None:
+    """An error if columns of docs that are to be carried have the names of new ones."""
+    if clash := [c for c in docs.columns if c in names]:
+        raise ValueError(f"columns {clash} of the input have the names of results")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Smallest reachable node of every node in edges(u long, v long).
 
     Alternates large-star and small-star steps, written as partially aggregated minima and
     equi-joins, so a node with very many neighbours is never gathered into one task and a skewed
     join can be split by adaptive execution. Every round is cut by a checkpoint. Returns (node,
-    component), nodes without edges are not in it. Labels that still change after max_rounds are an error.
+    component), nodes without edges are not in it. A graph that isn't settled after max_rounds is an error.
     """
     e = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     )
-    sign = None
     for _ in range(max_rounds):
+        # a forest of stars: no node hangs on two others or on one that hangs itself
+        hung = e.groupBy("u").agg(F.count("*").alias("n"))
+        if not hung.where("n > 1").unionByName(hung.join(e.select(F.col("v").alias("u")), "u", "left_semi")).limit(1).count():
+            break
         # large star: the larger neighbours of a node hang on its smallest neighbour or itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -58,10 +83,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             low.select("u", F.col("m").alias("v"))
         )
         e = materialize(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == sign:
-            break
-        sign = tuple(now)
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
