@@ -8,8 +8,8 @@ The model holds counts of LANGS x 2^BITS cells at most, so it can be broadcast.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +17,51 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import carried
+from strandline.llm.minhash import mix
+
 #: log2 of the n-gram cells of each language.
 BITS = 16
 #: Labelled documents the model is fitted on, at most (about; chosen by hash).
 SAMPLE = 20_000
 #: Log-probability units that a change of language between two words costs.
 SWITCH = 6.0
+#: Letters of a word that count as evidence at most, so that one long string can't outvote its surroundings.
+WORD_WEIGHT = 12
+#: What a language loses in a word of a script that it was not seen with.
+FOREIGN = 40.0
 #: Words that a worker remembers before it starts anew.
 MEMO = 300_000
 #: Unicode script names that are told apart.
 SCRIPTS = ["Latin", "Greek", "Cyrillic", "Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Telugu", "Thai", "Hangul", "Hiragana", "Katakana", "Han", "Armenian", "Georgian", "Ethiopic", "Khmer"]
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCRIPT = regex.compile("|".join(rf"(\p{{Script={s}}})" for s in SCRIPTS))
-PREDICTED = "doc_id long, lang_pred string, score double, n_words long, spans array<struct<start:int,end:int,lang:string>>"
-
-
-def cells_of(word: str) -> list[int]:
-    """Cells of the padded word's 2- to 4-grams (of UTF-16 units) and of the whole word."""
-    w = f"<{word}>".encode("utf-16-le")
-    hashes = [crc32(w[i : i + n]) for n in (4, 6, 8) for i in range(0, len(w) - n + 1, 2)]
-    hashes.append(crc32(w, 1))
-    return [(h ^ h >> 16) & ((1 << BITS) - 1) for h in hashes]
+PREDICTED = "doc_id long, lang_pred string, score double, n_words long"
+SPANS = "spans array<struct<start:int,end:int,lang:string>>"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def cells_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, first): cells of the 2- to 4-grams (of UTF-16 units) of each padded word and of the whole
+    word, one word after another; first is where each word's cells begin."""
+    units = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-16-le"), "<u2").astype(np.uint64)
+    size = np.array([len(w.encode("utf-16-le")) // 2 + 2 for w in words])
+    end = np.cumsum(size)
+    left = np.repeat(end, size) - np.arange(len(units))  # units from here to the word's end
+    word = np.repeat(np.arange(len(words)), size)
+    h, got, owner = np.zeros(len(units), np.uint64), [], []
+    for n in (1, 2, 3, 4):
+        h[: len(units) - n + 1] = (h[: len(units) - n + 1] + units[n - 1 :]) * _FACTOR + np.uint64(n)
+        if n > 1:
+            at = np.flatnonzero(left >= n)
+            got.append(h[at])
+            owner.append(word[at])
+    place = (np.arange(len(units)) - np.repeat(end - size, size)).astype(np.uint64)
+    got.append(np.add.reduceat(mix(units + place * _FACTOR), end - size))
+    owner.append(np.arange(len(words)))
+    cells, owner = mix(np.concatenate(got)) & np.uint64((1 << BITS) - 1), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return cells[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(words)))
 
 
 def script_of(word: str) -> int:
@@ -45,57 +69,97 @@ def script_of(word: str) -> int:
     return m.lastindex if m else 0
 
 
+def viterbi(emit: np.ndarray) -> np.ndarray:
+    """The best path's column in each row, a change of column costing SWITCH; ties stay, then take the first."""
+    rows, score, came = emit.tolist(), emit[0].tolist(), []
+    for e in rows[1:]:
+        top = max(score)
+        at, jump = score.index(top), top - SWITCH
+        came.append([at if jump > s else j for j, s in enumerate(score)])
+        score = [(jump if jump > s else s) + x for s, x in zip(score, e)]
+    path = [score.index(max(score))]
+    for back in reversed(came):
+        path.append(back[path[-1]])
+    return np.array(path[::-1])
+
+
+def best_path(emit: np.ndarray) -> np.ndarray:
+    """viterbi(emit); at once where leaving the column with the largest sum cannot pay.
+
+    Let a run's gain be what one other column adds to that column's sum over it. If no run gains
+    SWITCH, a stay in other columns between or before rows of that column loses. A path that never
+    visits it begins with one run at the text's start and ends with another at its end, so it loses too
+    if these two gain less than SWITCH together.
+    """
+    one = int(emit.sum(axis=0).argmax())
+    c = np.zeros((len(emit) + 1, emit.shape[1]))
+    np.cumsum(emit - emit[:, one : one + 1], axis=0, out=c[1:])
+    run = (c[1:] - np.minimum.accumulate(c[:-1], axis=0)).max()
+    ends = c.max() + (c[-1] - c.min(axis=0)).max()
+    if run < SWITCH and ends < SWITCH:
+        return np.full(len(emit), one)
+    return viterbi(emit)
+
+
 class Model:
     def __init__(self, langs: list[str], logp: np.ndarray, scripts: np.ndarray):
         """logp: cells x languages; scripts: whether a language was seen with a script."""
-        self.langs, self.logp, self.scripts, self.memo = langs, logp, scripts, {}
+        self.langs, self.logp, self.scripts = langs, logp, scripts
         self.narrow = [a.any() and not a.all() for a in scripts]
+        self._forget()
 
-    def word(self, w: str) -> np.ndarray:
-        if (s := self.memo.get(w)) is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            cells = cells_of(w)
-            s = self.logp.take(cells, axis=0).sum(axis=0) * (min(len(w), 12) / len(cells))
-            script = script_of(w)
-            if self.narrow[script]:
-                s = np.where(self.scripts[script], s, s.max() - 40.0)
-            self.memo[w] = s = s - s.max()
-        return s
-
-    def label(self, words: list[str]) -> np.ndarray:
-        """The best path's language of each word."""
-        emit = np.array([self.word(w) for w in words])
-        best = emit.argmax(axis=1)
-        if (emit.sum(axis=0) == 0).any() or (best == best[0]).all():
-            return best * 0 + emit.sum(axis=0).argmax()
-        n, k = emit.shape
-        rows, score, came = emit.tolist(), emit[0].tolist(), []
-        for e in rows[1:]:
-            top = max(score)
-            at, jump = score.index(top), top - SWITCH
-            came.append([at if jump > s else j for j, s in enumerate(score)])
-            score = [(jump if jump > s else s) + x for s, x in zip(score, e)]
-        path = [score.index(max(score))]
-        for back in reversed(came):
-            path.append(back[path[-1]])
-        return np.array(path[::-1])
-
-    def predict(self, text: str | None) -> tuple[str, float, int, list[dict]]:
-        found = list(WORD.finditer(text.lower())) if text else []
-        if not found or not self.langs:
-            return "und", 0.0, 0, []
-        words = [m[0] for m in found]
-        path = self.label(words)
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.known = 0
+        self.emit = np.zeros((1024, len(self.langs)))
+        self.size = np.zeros(1024)
+
+    def learn(self, words: list[str]) -> None:
+        """Scores of words not seen before, at most 0: mean log probability of their cells times their length."""
+        cells, first = cells_of(words)
         size = np.array([len(w) for w in words], dtype=float)
-        letters = np.bincount(path, weights=size, minlength=len(self.langs))
+        count = np.diff(np.r_[first, len(cells)])
+        s = np.add.reduceat(self.logp.take(cells, axis=0), first, axis=0) * (np.minimum(size, WORD_WEIGHT) / count)[:, None]
+        for k, w in enumerate(words):
+            script = script_of(w) if ord(w[0]) > 591 else 1  # Latin letters lie below
+            if self.narrow[script]:
+                s[k] = np.where(self.scripts[script], s[k], s[k].max() - FOREIGN)
+        s -= s.max(axis=1)[:, None]
+        need = self.known + len(words)
+        if need > len(self.size):
+            more = max(need, 2 * len(self.size)) - len(self.size)
+            self.emit, self.size = np.vstack([self.emit, np.zeros((more, len(self.langs)))]), np.r_[self.size, np.zeros(more)]
+        self.emit[self.known : need], self.size[self.known : need] = s, size
+        self.place.update(zip(words, range(self.known, need)))
+        self.known = need
+
+    def predict(self, texts: list[str | None], spans: bool = False) -> list[tuple]:
+        """(language, share of letters, words[, spans]) of each text."""
+        if self.known > MEMO:
+            self._forget()
+        low = [t.lower() if t and self.langs else "" for t in texts]
+        found = [WORD.findall(t) for t in low]
+        place = self.place
+        if new := [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in place]:
+            self.learn(new)
+        out = []
+        for text, words in zip(low, found):
+            if not words:
+                out.append(("und", 0.0, 0, []) if spans else ("und", 0.0, 0))
+                continue
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            path, size = best_path(self.emit[at]), self.size[at]
+            letters = np.bincount(path, weights=size, minlength=len(self.langs))
+            top = int(letters.argmax())
+            row = self.langs[top], float(letters[top] / letters.sum()), len(words)
+            out.append((*row, self._spans(text, path)) if spans else row)
+        return out
+
+    def _spans(self, text: str, path: np.ndarray) -> list[dict]:
+        found = list(WORD.finditer(text))
         edge = np.flatnonzero(np.diff(path)) + 1
-        spans = [
-            {"start": found[a].start(), "end": found[b - 1].end(), "lang": self.langs[path[a]]}
-            for a, b in zip([0, *edge], [*edge, len(words)])
-        ]
-        top = int(letters.argmax())
-        return self.langs[top], float(letters[top] / letters.sum()), len(words), spans
+        ends = zip([0, *edge], [*edge, len(found)])
+        return [{"start": found[a].start(), "end": found[b - 1].end(), "lang": self.langs[path[a]]} for a, b in ends]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -109,19 +173,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        memo: dict[str, tuple[np.ndarray, int]] = {}
         for b in batches:
+            words: dict[str, Counter] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                c = seen.setdefault(lang, np.zeros(1 << BITS))
-                s = scripts.setdefault(lang, np.zeros(len(SCRIPTS) + 1))
-                for w in WORD.findall(text.lower()):
-                    if w not in memo:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[w] = np.array(cells_of(w)), script_of(w)
-                    cells, script = memo[w]
-                    c[cells] += 1
-                    s[script] += 1
+                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            for lang, found in words.items():
+                c, s = seen.setdefault(lang, np.zeros(1 << BITS)), scripts.setdefault(lang, np.zeros(len(SCRIPTS) + 1))
+                if found:
+                    cells, first = cells_of(list(found))
+                    times = np.array(list(found.values()), dtype=float)
+                    c += np.bincount(cells, weights=np.repeat(times, np.diff(np.r_[first, len(cells)])), minlength=1 << BITS)
+                    s += np.bincount([script_of(w) for w in found], weights=times, minlength=len(SCRIPTS) + 1)
         for lang, c in seen.items():
             full = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays(
@@ -147,27 +209,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, np.log(p).astype(np.float32) if langs else p, share > 0.001)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (share of letters in spans of lang_pred), n_words, spans.
+def predict(docs: DataFrame, model: Model, spans: bool = False, carry: bool = False) -> DataFrame:
+    """PREDICTED of every row: score is the share of letters in spans of lang_pred; with spans, SPANS too
+    (character offsets in the lower-cased text). carry: the columns of docs come first, in place of doc_id.
 
     Null texts and texts without a letter are `und` with score 0, as is everything if no language was
-    learned. Rows are independent; other columns are ignored. Spans give character offsets.
+    learned. Rows are independent, so repeated rows get equal values; very long texts are read whole;
+    an empty table gives no rows; other columns are ignored unless carried.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.langs, model.logp, model.scripts))
+    new = PREDICTED.split(", ", 1)[1] + (", " + SPANS if spans else "")
+    names = [x.split()[0] for x in new.split(", ")]
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for b in batches:
-            got = [m.predict(t) for t in b.column("text").to_pylist()]
-            cols = list(zip(*got)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind)],
-                ["doc_id", "lang_pred", "score", "n_words", "spans"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+            texts = b.column("text").to_pylist()
+            for at in range(0, len(texts), 512):
+                got = list(zip(*m.predict(texts[at : at + 512], spans)))
+                part = b.slice(at, 512)
+                old = [(n, part.column(n)) for n in (part.schema.names if carry else ["doc_id"])]
+                made = [*zip(names, (pa.array(c, k) for c, k in zip(got, kinds)))]
+                yield pa.RecordBatch.from_arrays([c for _, c in [*old, *made]], [n for n, _ in [*old, *made]])
+
+    if carry:
+        carried(docs, names)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        return docs.mapInArrow(run, f"{fields}, {new}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {new}")
 
 
 def held_out(doc_id) -> F.Column:
