@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import count_in, fold, words
+from strandline.functions.text import count_in, fold, search_terms
 
 
 def bm25(docs: DataFrame, question: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top k rows of docs(doc_id, text) with a positive score; ties go to the smaller id.
 
-    Only counts of the question's terms are kept for a document, so nothing is exploded or shuffled;
-    the corpus statistics are one row.
+    Terms are stems without stop words; documents without a term don't count. A document keeps its length
+    and its occurrences of the question's terms only, so nothing is exploded or shuffled; one pass gives the
+    corpus statistics (one row), a second one the scores.
     """
-    spark = docs.sparkSession
-    terms = list(dict.fromkeys(spark.range(1).select(words(F.lit(question))).first()[0]))
-    tokens = docs.select("doc_id", words(F.col("text")).alias("t"))
-    counted = tokens.select("doc_id", F.size("t").alias("n"), *[count_in(F.col("t"), t).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()
+    terms = list(dict.fromkeys(docs.sparkSession.range(1).select(search_terms(F.lit(question))).first()[0]))
+    tokens = docs.select("doc_id", search_terms(F.col("text")).alias("t"))
+    counted = tokens.select("doc_id", F.struct(F.size("t").alias("n"), F.filter("t", lambda w: w.isin(terms)).alias("h")).alias("c"))
+    full = counted.where(F.col("c.n") > 0)
+    stats = full.agg(F.count("*").alias("n"), F.avg("c.n").alias("mean"), *[F.count_if(F.array_contains("c.h", t)).alias(f"d{i}") for i, t in enumerate(terms)]).first()
     score, mean = F.lit(0.0), stats["mean"] or 1.0
-    for i in range(len(terms)):
-        d = stats[f"d{i}"] or 0
-        idf, f = F.log(F.lit(1 + (stats["n"] - d + 0.5) / (d + 0.5))), F.col(f"f{i}")
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / mean))
-    return counted.select("doc_id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+    for i, t in enumerate(terms):
+        idf, f = math.log(1 + (stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)), count_in(F.col("c.h"), t)
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("c.n") / mean))
+    # the largest scores are positive if any is, so nothing is filtered before the top is taken
+    top = counted.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    return top.where("score > 0")
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """Documents and occurrences of every term, in one partially aggregated shuffle."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("term"), "doc_id")
-    per_doc = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """Documents and occurrences of every term, in one partially aggregated shuffle by term."""
+    tokens = docs.select(search_terms(F.col("text")).alias("t"))
+    one = lambda df, tf: lambda w: F.struct(w.alias("term"), F.lit(df).alias("df"), F.lit(tf).alias("tf"))
+    rows = tokens.select(F.explode(F.concat(F.transform(F.array_distinct("t"), one(1, 0)), F.transform("t", one(0, 1)))).alias("r")).select("r.*")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def contains_all(df: DataFrame, columns: list[str], question: str) -> DataFrame:

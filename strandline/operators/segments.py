@@ -41,7 +41,8 @@ def gap_sessions(df: DataFrame, key: str, time: str, tie: str, gap: int) -> Data
 
 
 def sum_ahead(df: DataFrame, key: str, time: str, value: str, horizon: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(0, horizon)
+    """Sum of a whole-numbered time's rows from each row up to, not at, `horizon` later."""
+    w = Window.partitionBy(key).orderBy(time).rangeBetween(0, horizon - 1)
     return df.withColumn("ahead", F.sum(value).over(w))
 
 

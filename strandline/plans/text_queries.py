@@ -12,12 +12,18 @@ from strandline.sources.tables import table
 FOLD = f"translate(lower(%s), '{T.ACCENTED}', '{T.PLAIN}')"
 WORDS = f"coalesce(regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{N}}]+'), [])"
 QUESTION = "license version the that"
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(T.STOP))
+_M = "CASE WHEN length(w) > 6 AND suffix(w, 'mente') THEN left(w, length(w) - 5) ELSE w END"
+_STEM = """CASE WHEN length(v) > 5 AND suffix(v, 'ces') THEN left(v, length(v) - 3) || 'z' WHEN length(v) > 4 AND suffix(v, 'es') THEN left(v, length(v) - 2)
+  WHEN length(v) > 3 AND suffix(v, 's') THEN left(v, length(v) - 1) ELSE v END"""
+_RAW = f"[w FOR w IN regexp_split_to_array({FOLD % 'text'}, '[^a-z0-9]+') IF length(w) >= 2 AND w NOT IN ({_STOP})]"
+TERMS = f"[x FOR x IN [{_STEM} FOR v IN [{_M} FOR w IN {_RAW}]] IF length(x) >= 2 AND x NOT IN ({_STOP})]"
 
 register("bm25_search", f"""
-WITH d AS (SELECT doc_id, {WORDS % 'text'} AS t FROM documents),
-s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
-q AS (SELECT unnest(['license', 'version', 'the', 'that']) AS term),
-f AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM d, q),
+WITH d AS (SELECT doc_id, coalesce({TERMS}, []) AS t FROM documents), e AS (SELECT * FROM d WHERE len(t) > 0),
+s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM e),
+q AS (SELECT unnest(['license', 'version']) AS term),
+f AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM e, q),
 df AS (SELECT term, count(*) FILTER (f > 0) AS df FROM f GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score
 FROM f JOIN df USING (term), s GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 10""")(
@@ -25,7 +31,7 @@ FROM f JOIN df USING (term), s GROUP BY doc_id HAVING score > 0 ORDER BY score D
 )
 
 register("term_stats", f"""
-WITH t AS (SELECT doc_id, unnest({WORDS % 'text'}) AS term FROM documents)
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term""")(
     lambda spark, sf: search.term_stats(table(spark, sf, "documents"))
 )
@@ -83,17 +89,13 @@ HAVING count(DISTINCT doc_id) >= greatest(3, ceil(pages * 0.005))""")(
 
 _counts = ", ".join(f"len(list_filter(t, lambda x: list_contains({w!r}, x)))::BIGINT AS {k}" for k, w in quality.FREQUENT.items())
 
-
-def _language(spark, sf):
-    counts = quality.frequent_counts(F.col("text"))
-    d = table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in counts.items()])
-    return d.withColumn("vote", quality.vote({k: F.col(k) for k in counts}))
-
-
 register("frequent_word_language", f"""
-WITH c AS (SELECT doc_id, {_counts} FROM (SELECT doc_id, {WORDS % 'text'} AS t FROM documents))
-SELECT *, CASE WHEN greatest(en, es, fr, de) = 0 THEN 'und' WHEN en = greatest(en, es, fr, de) THEN 'en'
-  WHEN es = greatest(en, es, fr, de) THEN 'es' WHEN fr = greatest(en, es, fr, de) THEN 'fr' ELSE 'de' END AS vote FROM c""")(_language)
+WITH c AS (SELECT doc_id, {_counts} FROM (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '{quality.TITLE_WORD.replace(chr(39), chr(39) * 2)}'), []) AS t FROM documents)),
+o AS (SELECT *, list_reverse_sort([en, es, pt, fr, de, it]) AS top FROM c)
+SELECT * EXCLUDE (top), CASE WHEN top[1] = 0 OR top[1] = top[2] THEN '' WHEN en = top[1] THEN 'en' WHEN es = top[1] THEN 'es' WHEN pt = top[1] THEN 'pt' WHEN fr = top[1] THEN 'fr' WHEN de = top[1] THEN 'de' ELSE 'it' END AS lang,
+  CASE WHEN top[1] = 0 OR top[1] = top[2] THEN 0 ELSE round(least(0.8, 0.35 + 0.5 * (top[1] - top[2]) / top[1] * least(1, top[1] / 4)), 3) END::DOUBLE AS confidence FROM o""")(
+    lambda spark, sf: quality.title_language(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+)
 
 register("script_share", """
 SELECT doc_id, round(length(regexp_replace(substr(text, 1, 4000), '[^\\p{Latin}]', '', 'g')) / length(regexp_replace(substr(text, 1, 4000), '[^\\p{L}]', '', 'g')), 6) AS latin

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.operators import merge, quality, search, segments
-from strandline.plans.registry import register
+from strandline.plans.registry import ORACLES, QUERIES, register
 from strandline.sources.tables import table
 
 MS = "(epoch_us(ts) // 1000)"
@@ -23,13 +23,13 @@ register("tag_counts", "SELECT lower(event_type) AS tag, count(*) AS n, arg_min(
 
 
 def _versions(spark, sf):
+    """Every order, and a copy of every order with other stamps."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("stamp"), "o_orderstatus")
-    local, remote = o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("stamp", F.col("stamp") + F.col("o_orderkey") % 5 - 2)
-    return local, remote
+    return o, o.withColumn("stamp", F.col("stamp") + F.col("o_orderkey") % 5 - 2)
 
 
-SIDES = """a AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS stamp, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT + o_orderkey % 5 - 2 AS stamp, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)"""
+SIDES = """a AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS stamp, o_orderstatus FROM orders),
+b AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT + o_orderkey % 5 - 2 AS stamp, o_orderstatus FROM orders)"""
 
 register("sync_verdicts", f"""WITH {SIDES} SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
   CASE WHEN b.stamp IS NULL OR a.stamp > b.stamp THEN 'upload' WHEN a.stamp IS NULL OR b.stamp > a.stamp THEN 'download' ELSE 'same' END AS verdict
@@ -43,34 +43,6 @@ SELECT o_orderkey, stamp, o_orderstatus FROM k WHERE r = 1 AND NOT deleted""")(
 )
 
 register("fragment_accounting", """
-WITH u AS (SELECT l_orderkey AS o_orderkey, count(*) AS uses FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-SELECT coalesce(o.o_orderkey, u.o_orderkey) AS o_orderkey,
-  CASE WHEN o.o_orderkey IS NULL THEN 'unknown' WHEN uses IS NULL THEN 'unused' WHEN uses > 1 THEN 'repeated' ELSE 'once' END AS state
-FROM (SELECT DISTINCT o_orderkey FROM orders) o FULL JOIN u ON o.o_orderkey = u.o_orderkey""")(
-    lambda spark, sf: merge.accounting(table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
-)
-
-# Three of the queries above take subsets of ids; these take every order, against a copy with other stamps, and every use.
-def _all_versions(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("stamp"), "o_orderstatus")
-    return o, o.withColumn("stamp", F.col("stamp") + F.col("o_orderkey") % 5 - 2)
-
-
-ALL_SIDES = """a AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS stamp, o_orderstatus FROM orders),
-b AS (SELECT o_orderkey, trunc(o_totalprice)::BIGINT + o_orderkey % 5 - 2 AS stamp, o_orderstatus FROM orders)"""
-
-register("sync_verdicts_all", f"""WITH {ALL_SIDES} SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
-  CASE WHEN b.stamp IS NULL OR a.stamp > b.stamp THEN 'upload' WHEN a.stamp IS NULL OR b.stamp > a.stamp THEN 'download' ELSE 'same' END AS verdict
-FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")(lambda spark, sf: merge.verdicts(*_all_versions(spark, sf), "o_orderkey", "stamp"))
-
-register("last_writer_wins_all", f"""WITH {ALL_SIDES},
-u AS (SELECT *, 1 AS l, false AS deleted FROM a UNION ALL SELECT *, 0, o_orderstatus = 'P' FROM b),
-k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY stamp DESC, l DESC) AS r FROM u)
-SELECT o_orderkey, stamp, o_orderstatus FROM k WHERE r = 1 AND NOT deleted""")(
-    lambda spark, sf: (lambda a, b: merge.last_writer(a.withColumn("deleted", F.lit(False)), b.withColumn("deleted", F.col("o_orderstatus") == "P"), "o_orderkey", "stamp", "deleted"))(*_all_versions(spark, sf))
-)
-
-register("fragment_accounting_all", """
 WITH u AS (SELECT l_orderkey AS o_orderkey, count(*) AS uses FROM lineitem GROUP BY 1)
 SELECT coalesce(o.o_orderkey, u.o_orderkey) AS o_orderkey,
   CASE WHEN o.o_orderkey IS NULL THEN 'unknown' WHEN uses IS NULL THEN 'unused' WHEN uses > 1 THEN 'repeated' ELSE 'once' END AS state
@@ -96,14 +68,6 @@ SELECT user_id, event_id, match FROM j WHERE r = 1""")(
 )
 
 register("interval_overlaps", f"""
-WITH e AS (SELECT user_id, event_id AS id, {MS} AS s, {MS} + 7200000 AS z, event_id % 2 AS side FROM events)
-SELECT a.user_id, a.id AS a_id, b.id AS b_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.s < b.z AND a.z > b.s WHERE a.side = 0 AND b.side = 1""")(
-    lambda spark, sf: (lambda e: segments.interval_overlaps(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "user_id", 7_200_000))(
-        events(spark, sf).select("user_id", F.col("event_id").alias("id"), F.col("ms").alias("start"), (F.col("ms") + 7_200_000).alias("end"))
-    )
-)
-
-register("interval_overlaps_all", f"""
 WITH e AS (SELECT user_id, event_id AS id, {MS} AS s, {MS} + 7200000 AS z FROM events)
 SELECT a.user_id, a.id AS a_id, b.id AS b_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.s < b.z AND a.z > b.s WHERE a.id < b.id""")(
     lambda spark, sf: (lambda e: segments.interval_overlaps(e, e, "user_id", 7_200_000).where("a_id < b_id"))(
@@ -119,7 +83,7 @@ SELECT user_id, session, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms
 )
 
 register("sum_ahead", f"""
-SELECT event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY {MS} RANGE BETWEEN CURRENT ROW AND 20000000 FOLLOWING)::BIGINT AS ahead FROM events""")(
+SELECT event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY {MS} RANGE BETWEEN CURRENT ROW AND 19999999 FOLLOWING)::BIGINT AS ahead FROM events""")(
     lambda spark, sf: segments.sum_ahead(events(spark, sf).withColumn("cents", F.round(F.col("value") * 100).cast("long")), "user_id", "ms", "cents", 20_000_000).select("event_id", "ahead")
 )
 
@@ -162,14 +126,39 @@ SELECT event_id, CASE WHEN value < 15 THEN 'new' WHEN 100 - value <= 30 OR value
 )
 
 register("clock", """
-WITH s AS (SELECT event_id, greatest(coalesce(floor(value * 60), 0), 0)::BIGINT AS s FROM events)
+WITH s AS (SELECT event_id, greatest(coalesce(floor(value * 60 + 0.5), 0), 0)::BIGINT AS s FROM events)
 SELECT event_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock FROM s""")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", T.clock(F.col("value") * 60).alias("clock"))
 )
 
-register("asr_class", """
-SELECT l_orderkey, l_linenumber, CASE WHEN (l_tax > 0.055 AND -l_discount * 20 < -1) OR (l_quantity / 15 > 2.4 AND -l_discount * 20 < -0.5) OR (-l_discount * 20 < -1.2 AND l_quantity / 15 > 1.8) THEN 'metric' ELSE 'ok' END AS class FROM lineitem""")(
-    lambda spark, sf: table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", quality.asr_class(F.col("l_returnflag"), -F.col("l_discount") * 20, F.col("l_tax") * 10, F.col("l_quantity") / 15).alias("class")
-    )
+_SPEECH = """WITH s AS (SELECT conv_id, turn, CASE turn % 9 WHEN 8 THEN '' WHEN 7 THEN 'Subtítulos por la comunidad de Amara.org' ELSE text END AS text,
+  -(conv_id * 7 + turn) % 16 / 10 AS logprob, (conv_id + turn * 3) % 10 / 10 AS silence, 1 + (conv_id + turn) % 20 / 10 AS compression FROM conversations),
+c AS (SELECT *, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(text, 'Amara.org') THEN 'pattern' WHEN (silence > 0.72 AND logprob < -1) OR (compression > 2.6 AND logprob < -0.7) THEN 'metric' ELSE 'ok' END AS class FROM s)"""
+
+
+def _speech(spark, sf):
+    return table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "CASE turn % 9 WHEN 8 THEN '' WHEN 7 THEN 'Subtítulos por la comunidad de Amara.org' ELSE text END AS text",
+        "-(conv_id * 7 + turn) % 16 / 10 AS logprob", "(conv_id + turn * 3) % 10 / 10 AS silence", "1 + (conv_id + turn) % 20 / 10 AS compression",
+    )
+
+
+register("asr_class", f"""{_SPEECH} SELECT conv_id, turn, class,
+  CASE WHEN (silence > 0.55 AND logprob < -1.0) OR (compression > 2.4 AND logprob < -0.5) OR (logprob < -1.2 AND compression > 1.8) THEN 'drop'
+    WHEN (logprob < -0.6 AND silence > 0.3) OR (logprob < -0.9 AND compression > 1.5) THEN 'doubtful' ELSE 'fine' END AS suspect FROM c""")(
+    lambda spark, sf: _speech(spark, sf).select("conv_id", "turn", quality.asr_class(F.col("text"), F.col("logprob"), F.col("silence"), F.col("compression")).alias("class"),
+        quality.asr_suspect(F.col("logprob"), F.col("silence"), F.col("compression")).alias("suspect"))
+)
+
+register("asr_report", f"""{_SPEECH},
+g AS (SELECT *, round(greatest(0, least(1, (logprob + 1.5) / 1.4)), 3) < 0.42 OR silence > 0.48 OR compression > 2.35 AS grey FROM c),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (class = 'ok') AS kept, count(*) FILTER (class = 'empty') AS "empty", count(*) FILTER (class IN ('pattern', 'metric')) AS removed,
+  count(*) FILTER (class = 'pattern') AS patterns, count(*) FILTER (class = 'ok' AND grey) AS doubtful FROM g GROUP BY 1),
+r AS (SELECT *, removed / n AS r, coalesce(doubtful / nullif(kept, 0), 0) AS d FROM n)
+SELECT * EXCLUDE (r, d), patterns > 0 OR (kept = 0 AND removed > 0) OR r > 0.15 OR d > 0.25 AS review, patterns > 0 OR r > 0.25 OR d > 0.35 AS confirm FROM r""")(
+    lambda spark, sf: quality.asr_report(_speech(spark, sf), "conv_id")
 )
+
+# the names under which an earlier release ran these on all rows
+for _n in ("sync_verdicts", "last_writer_wins", "fragment_accounting", "interval_overlaps"):
+    QUERIES[f"{_n}_all"], ORACLES[f"{_n}_all"] = QUERIES[_n], ORACLES[_n]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.operators import merge, segments
 from strandline.plans import registry
-from strandline.plans import reader_queries, scalar_queries, text_queries, time_queries  # noqa: F401
+from strandline.plans import language_queries, reader_queries, scalar_queries, text_queries, time_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,18 +44,18 @@ def test_queries_on_all_rows(spark):
     q = registry.QUERIES
     rows = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").collect()
     orders, uses = rows("orders"), {}
-    verdict = {k: v for k, v in q["sync_verdicts_all"](spark, SF).select("o_orderkey", "verdict").collect()}
+    verdict = {k: v for k, v in q["sync_verdicts"](spark, SF).select("o_orderkey", "verdict").collect()}
     assert verdict == {o.o_orderkey: ("upload", "same", "download")[(o.o_orderkey % 5 - 2 > 0) + (o.o_orderkey % 5 - 2 >= 0)] for o in orders}
-    merged = q["last_writer_wins_all"](spark, SF).collect()
+    merged = q["last_writer_wins"](spark, SF).collect()
     assert sorted(r.o_orderkey for r in merged) == sorted(o.o_orderkey for o in orders if o.o_orderstatus != "P" or o.o_orderkey % 5 <= 2)
     for x in rows("lineitem"):
         uses[x.l_orderkey] = uses.get(x.l_orderkey, 0) + 1
     known = {o.o_orderkey for o in orders}
     state = {k: "unknown" if k not in known else ("unused", "once", "repeated")[min(uses.get(k, 0), 2)] for k in known | set(uses)}
-    assert {r.o_orderkey: r.state for r in q["fragment_accounting_all"](spark, SF).collect()} == state
+    assert {r.o_orderkey: r.state for r in q["fragment_accounting"](spark, SF).collect()} == state
     e = [(x.user_id, x.event_id, x.ms) for x in time_queries.events(spark, SF).collect()]
     want = {(u, i, j) for u, i, s in e for w, j, t in e if u == w and i < j and abs(s - t) < 7_200_000}
-    got = [(r.user_id, r.a_id, r.b_id) for r in q["interval_overlaps_all"](spark, SF).collect()]
+    got = [(r.user_id, r.a_id, r.b_id) for r in q["interval_overlaps"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want and {(i - j) % 2 for _, i, j in got} == {0, 1}
 
 
