@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import connected_components, materialize, partitions
 
 LEAD = 6
-LEAF = 1024
+LEAF = 2048
 FANOUT = 8
 #: Vectors that the rotation is fitted on, at most (about). It only steers the order, never a link.
 SAMPLE = 20_000
@@ -64,7 +64,8 @@ def grid(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
                 [*b.columns, pa.array(lead, pa.list_(pa.float64())), pa.array(cell, pa.list_(pa.int32()))], [*b.schema.names, "lead", "cell"]
             )
 
-    return vectors.mapInArrow(run, "rep long, label int, copies long, embedding array<double>, width int, lead array<double>, cell array<int>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.mapInArrow(run, f"rep long, label int, copies long, embedding {kind}, width int, lead array<double>, cell array<int>")
 
 
 def join_blocks(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, cosine: float, eps: float, same: bool, out) -> None:
@@ -114,20 +115,24 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     Vectors are compared if labels are equal and not null. Null or zero vectors, ones with null or
     non-finite components, and ones of different length link with nothing. Equal vectors of a label
-    are one class with a multiplicity and link to each other. vec_id names a vector; rows that repeat
-    it are counted as other vectors and share a component. An empty table gives no rows; other columns
-    are ignored.
+    are one class with a multiplicity and link to each other. Each row is a vector of its own: rows that
+    repeat a vec_id link only if their vectors do, and rows without one take part with kept = false.
+    component_id is the smallest vec_id of a component, null where none has one. An empty table gives no
+    rows; other columns are ignored.
     """
     spark, eps = table.sparkSession, float(np.sqrt(2 - 2 * cosine))
     parts = partitions(spark)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("ok", F.coalesce(F.expr(f"label is not null and vec_id is not null and {valid('embedding')}"), F.lit(False)))
+    # floats travel as floats; all arithmetic is in double precision
+    kind = "array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = rows.withColumn("ok", F.coalesce(F.expr(f"label is not null and {valid('embedding')}"), F.lit(False)))
     good = rows.where("ok").drop("ok")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     axes = rotation(good)
     if axes is None:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     base = classes.select("rep", "label", "copies", "embedding", F.size("embedding").alias("width"))
     ordered = materialize(grid(base, axes, eps))
     # intervals of the order: ranks within a label are found from counts of the cells' sort keys
@@ -170,7 +175,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     def table_of(v):
         f = v.flatten() if isinstance(v, pa.ListScalar) else v
         emb, lead = f.field("embedding"), f.field("lead")
-        x = np.asarray(emb.flatten()).reshape(len(emb), -1)
+        x = np.asarray(emb.flatten(), dtype=np.float64).reshape(len(emb), -1)
         return x / np.sqrt((x * x).sum(axis=1))[:, None], np.asarray(lead.flatten()).reshape(len(lead), -1), np.asarray(f.field("rep")), np.asarray(f.field("copies"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +206,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     info = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    info = info.select("label", "embedding", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    info = materialize(info)
+    info = info.join(info.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     some = good.join(info, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     return some.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
