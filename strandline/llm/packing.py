@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -70,7 +71,7 @@ def encoder(path: str):
     """Function from a text to its ids, equal to those of the tokenizers library.
 
     Plain byte-level BPE is encoded from the file's ranks by tiktoken, which is five times as fast;
-    every other file by the tokenizers library itself.
+    texts with very long runs of blanks, and every other file, by the tokenizers library itself.
     """
     if (path, "ids") not in _TOKENIZERS:
         t = tokenizer(path)
@@ -78,12 +79,22 @@ def encoder(path: str):
             import tiktoken
 
             fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=got[0], special_tokens=got[1])
-            _TOKENIZERS[path, "ids"] = lambda text: fast.encode(text, allowed_special="all")
+
+            def ids(text: str) -> list[int]:
+                if LONG_BLANK.search(text):  # tiktoken's pattern gives up on these
+                    return t.encode(text, add_special_tokens=False).ids
+                return fast.encode(text, allowed_special="all")
+
+            _TOKENIZERS[path, "ids"] = ids
         else:
             _TOKENIZERS[path, "ids"] = lambda text: t.encode(text, add_special_tokens=False).ids
     return _TOKENIZERS[path, "ids"]
 
 
+#: Runs of blanks that are left to the tokenizers library.
+LONG_BLANK = re.compile(r"\s{10000}")
+
+
 class CapacityTree:
     """Segment tree over remaining capacities 0..size; a node counts the open windows below it."""
 
@@ -120,19 +131,22 @@ class CapacityTree:
         return self.open[capacity].pop(), capacity
 
 
-def best_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
-    """Window and offset of each piece; lengths come longest first, none above size."""
-    tree, windows, offsets, n = CapacityTree(size), [], [], 0
-    for length in lengths:
-        if got := tree.take(length):
+class Packer:
+    """Best fit for pieces that come longest first, none above size; holds the open windows only."""
+
+    def __init__(self, size: int):
+        self.size, self.tree, self.windows = size, CapacityTree(size), 0
+
+    def place(self, length: int) -> tuple[int, int]:
+        """Window and offset of the next piece; a full window needs no search."""
+        if length < self.size and (got := self.tree.take(length)):
             window, capacity = got
         else:
-            window, capacity, n = n, size, n + 1
-        windows.append(window)
-        offsets.append(size - capacity)
+            window, capacity = self.windows, self.size
+            self.windows += 1
         if capacity > length:
-            tree.add(capacity - length, window)
-    return windows, offsets
+            self.tree.add(capacity - length, window)
+        return window, self.size - capacity
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
@@ -158,23 +172,18 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> Dat
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
     """Packs documents(doc_id, text); one row per piece, see PACKED.
 
-    Null and empty texts are the end id alone. Repeated rows are packed as often as they occur, ties
+    Null and empty texts are the end id alone; very long texts are cut into windows. Repeated rows are packed as often as they occur, ties
     in length are ordered by doc_id and start. Other columns are ignored. An empty table gives no
     rows. The partition of a piece is a hash of its id and start, so lost tasks are recomputed alike.
     """
     parts = partitions(docs.sparkSession)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        if not t.num_rows:
-            return
-        windows, offsets = best_fit_decreasing(t.column("length").to_pylist(), size)
-        first = TaskContext.get().partitionId() << 40
-        t = t.append_column("sequence_id", pa.array(np.array(windows, dtype=np.int64) + first))
-        yield from t.append_column("offset", pa.array(offsets, pa.int64())).to_batches(max_chunksize=8192)
+        packer, first = Packer(size), TaskContext.get().partitionId() << 40
+        for b in batches:
+            placed = np.array([packer.place(n) for n in b.column("length").to_pylist()], dtype=np.int64).reshape(-1, 2)
+            columns = [*b.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "sequence_id", "offset"])
 
     dealt = pieces(docs, path, size, end_id).repartition(parts, F.xxhash64("doc_id", "start"))
     dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start")
