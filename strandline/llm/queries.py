@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import byte_bpe, embedding, langid, licenses, media, minhash, packing, sharding, token_counts, toxicity
-from strandline.llm.common import table
+from strandline.llm.common import shared_path, table
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -22,7 +22,9 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    """Starts with a cache of its own, so that a run counts all texts and leaves their counts in it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, cache=shared_path(spark, "token-cache"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

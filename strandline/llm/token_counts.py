@@ -2,7 +2,7 @@
 
 Text is normalised (null is the empty string) and digested; the tokenizer version is the digest of
 its file. Counts are looked up by (content digest, tokenizer digest); only distinct misses are
-encoded and they are appended to the cache table. Without a cache table each run starts cold.
+encoded and they are appended to the cache table, from which all counts are then read.
 """
 
 from __future__ import annotations
@@ -61,20 +61,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, cache: str | Non
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("content")
     )
-    distinct = rows.groupBy("content").agg(F.first("text").alias("text"))
-    known = spark.createDataFrame([], CACHE)
+    misses = rows.groupBy("content").agg(F.first("text").alias("text"))
     if cache:
+        stored = lambda: spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(cache)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-            known = known.groupBy("content", "version").agg(F.max("n_tokens").alias("n_tokens"))
-        misses = distinct.join(known, "content", "left_anti")
+            misses = misses.join(stored().select("content").distinct(), "content", "left_anti")
         fresh = count_distinct(misses, path).select("content", F.lit(version).alias("version"), "n_tokens")
         fresh.write.mode("append").parquet(cache)
-        known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-        counts = known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        # two runs at once may both append a text: their counts are equal
+        counts = stored().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     else:
-        counts = count_distinct(distinct, path)
+        counts = count_distinct(misses, path)
     sizes = rows.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(counts, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
