@@ -1,12 +1,13 @@
 """Toxicity categories by a chain of linear classifiers.
 
-A document is its set of words and word prefixes. The features that favour toxic documents most are
-selected from counts over the labelled rows. Logistic models are fitted one category after another;
-each later one also sees the probabilities of the earlier ones, which for training are predicted out of
-fold, so that it learns from values as good as it meets later. The last category decides.
-
-Labels name one category only (toxic). The categories before it are weak labels: toxic documents with
-a word of a fixed family.
+A document is its set of words and word prefixes, and of those that are dense in it. The features that
+favour toxic documents most are selected from counts over the labelled rows. Logistic models are fitted
+one category after another; each later one also sees the probabilities of the earlier ones, which for
+training are predicted out of fold, so that it learns from values as good as it meets later. The last
+category decides.
+
+Labels name one category only (toxic). The categories before it are found in the labelled rows: groups
+of toxic documents whose features occur together, such as the vocabulary of one language.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import carried
+
 #: Labelled documents the chain is fitted on, at most (about; chosen by a hash of doc_id).
 SAMPLE = 8_000
 #: Selected features, at most.
@@ -30,12 +33,11 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: Words that a worker remembers before it starts anew.
 MEMO = 500_000
-#: Word families of the weak categories.
-FAMILIES = {
-    "insult": ["idiot", "moron", "stupid", "clown", "loser", "fool"],
-    "contempt": ["trash", "scum", "worthless", "pathetic", "disgusting", "garbage"],
-}
-CATEGORIES = [*FAMILIES, "toxic"]
+#: A feature is dense in a document if one word in so many has it.
+DENSE = 100
+#: Categories found before the last one, and the share of a feature's toxic documents that must lie in a group for it to join.
+GROUPS, TOGETHER = 3, 0.6
+CATEGORIES = [*(f"group_{k + 1}" for k in range(GROUPS)), "toxic"]
 WORD = re.compile(r"[^\W\d_]+")
 SCORED = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
 
@@ -45,8 +47,18 @@ def features_of(word: str) -> list[str]:
     return ["=" + word] + [word[:n] for n in (4, 5, 6) if len(word) > n]
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+def words_of(text: str | None) -> Counter:
+    return Counter(WORD.findall(text.lower())) if text else Counter()
+
+
+def all_features(text: str | None) -> set[str]:
+    """Every feature of a document; a dense one's name ends in +."""
+    words, got = words_of(text), Counter()
+    for w, k in words.items():
+        for f in features_of(w):
+            got[f] += k
+    n = words.total()
+    return {*got, *(f + "+" for f, k in got.items() if k * DENSE >= n)}
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -64,7 +76,7 @@ def select_features(rows: DataFrame) -> list[str]:
         got = (Counter(), Counter())
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                got[toxic > 0].update({"", *(f for w in words_of(text) for f in features_of(w))})
+                got[toxic > 0].update({"", *all_features(text)})
         for toxic, c in enumerate(got):
             keys = list(c)
             for at in range(0, len(keys), 10_000):
@@ -93,17 +105,42 @@ class Rows:
         self.place, self.memo = {f: i for i, f in enumerate(names)}, {}
 
     def hits(self, text: str | None) -> set[int]:
-        found, memo = set(), self.memo
+        memo, place = self.memo, self.place
         if len(memo) > MEMO:
             memo.clear()
-        for w in words_of(text):
-            if (at := memo.get(w)) is None:
-                at = memo[w] = tuple(self.place[f] for f in features_of(w) if f in self.place)
-            if at:
-                found.update(at)
+        got: dict[str, int] = {}
+        words = words_of(text)
+        for w, k in words.items():
+            if (known := memo.get(w)) is None:
+                known = memo[w] = tuple(f for f in features_of(w) if f in place or f + "+" in place)
+            for f in known:
+                got[f] = got.get(f, 0) + k
+        n = words.total()
+        found = {place[f] for f in got if f in place}
+        found.update(place[f + "+"] for f, k in got.items() if k * DENSE >= n and f + "+" in place)
         return found
 
 
+def find_groups(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A column of 0 and 1 for each of GROUPS groups of toxic rows of x; row i stands for n[i] documents.
+
+    A group starts with the feature that most toxic documents outside earlier groups have, takes in the
+    features that occur with it mostly, and holds the toxic documents with any of them.
+    """
+    weight = toxic * n
+    y, free = np.zeros((len(x), GROUPS)), weight.copy()
+    for k in range(GROUPS):
+        have = free @ x
+        if not len(have) or have.max() <= 0:
+            break
+        first = x[:, have.argmax()]
+        total = np.maximum(weight @ x, 1e-9)
+        inside = (weight * first) @ x / total >= TOGETHER
+        y[:, k] = toxic * (x[:, inside].any(axis=1) | (first > 0))
+        free *= 1 - y[:, k]
+    return y
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -167,30 +204,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Rows(names)
         for b in batches:
-            texts, toxic = b.column("text").to_pylist(), b.column("toxic").to_pylist()
-            words = [words_of(t) for t in texts]
-            cols = [b.column("doc_id"), pa.array([sorted(r.hits(t)) for t in texts], pa.list_(pa.int32()))]
-            marks = [pa.array([bool(t > 0 and not w.isdisjoint(ws)) for t, w in zip(toxic, words)]) for ws in FAMILIES.values()]
-            yield pa.RecordBatch.from_arrays([*cols, *marks, pa.array([t > 0 for t in toxic])], ["doc_id", "hits", *CATEGORIES])
-
-    got = rows.mapInArrow(hits, "doc_id long, hits array<int>, " + ", ".join(f"{c} boolean" for c in CATEGORIES)).toArrow()
-    got = got.sort_by("doc_id")
-    marks = zip(*(got.column(c).to_pylist() for c in CATEGORIES))
+            found = [sorted(r.hits(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32())), b.column("toxic")], ["doc_id", "hits", "toxic"])
+
+    got = rows.mapInArrow(hits, "doc_id long, hits array<int>, toxic int").toArrow().sort_by("doc_id")
     # equal documents of a fold are one row with a count: most have no feature at all
-    equal = Counter((tuple(at), m, i % FOLDS) for i, (at, m) in enumerate(zip(got.column("hits").to_pylist(), marks)))
-    x, y = np.zeros((len(equal), len(names))), np.zeros((len(equal), len(CATEGORIES)))
-    for i, (at, m, _) in enumerate(equal):
-        x[i, list(at)], y[i] = 1, m
-    return Chain(names, fit_chain(x, y, np.array([f for _, _, f in equal]), np.array(list(equal.values()), dtype=float)))
+    equal = Counter((tuple(at), t > 0, i % FOLDS) for i, (at, t) in enumerate(zip(got.column("hits").to_pylist(), got.column("toxic").to_pylist())))
+    x, toxic, n = np.zeros((len(equal), len(names))), np.zeros(len(equal)), np.array(list(equal.values()), dtype=float)
+    for i, (at, t, _) in enumerate(equal):
+        x[i, list(at)], toxic[i] = 1, t
+    y = np.column_stack([find_groups(x, toxic, n), toxic])
+    return Chain(names, fit_chain(x, y, np.array([f for _, _, f in equal]), n))
 
 
-def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """doc_id, a probability for each category, and toxic (the last one reaches the threshold).
 
-    Whole texts are read. Null and empty texts have no features and get the base rates. Rows are independent:
-    repeated rows get equal values, an empty table gives no rows, other columns are ignored.
+    Whole texts are read, however long. Null and empty texts have no features and get the base rates.
+    Rows are independent: repeated rows get equal values, an empty table gives no rows, other columns are
+    ignored. carry: the columns of docs come first, in place of doc_id. Features of equal score are
+    selected in the order of their names.
     """
     held = docs.sparkSession.sparkContext.broadcast((chain.names, chain.weights))
+    made = SCORED.split(", ", 1)[1]
+    names = [x.split()[0] for x in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, memo = Chain(*held.value), {}
@@ -205,6 +242,11 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Dat
                 got.append(memo[h])
             cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(len(CATEGORIES))]
             flag = pa.array([g[-1] >= threshold for g in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, flag], [x.split()[0] for x in SCORED.split(", ")])
+            old = b.schema.names if carry else ["doc_id"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in old), *cols, flag], [*old, *names])
 
+    if carry:
+        carried(docs, names)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        return docs.mapInArrow(run, f"{fields}, {made}")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
