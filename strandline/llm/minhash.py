@@ -2,15 +2,16 @@
 
 Each of PERMS multiplicative permutations of a document's shingle hashes gives its minimum and its
 maximum, so 2 * PERMS signature values cost PERMS evaluations. Bands of ROWS values make buckets.
-Exact copies are one class from the start. Every member of a bucket is first compared with the
-bucket's smallest member; what is linked then is contracted. Only buckets that still hold several
-components are searched further, block by block, for pairs across components whose signatures agree
-enough. Each link is confirmed on the full shingle sets.
+Exact copies are one class from the start. Every class is first compared with one pivot; what is
+linked is contracted. Buckets that still hold several components are searched further, against their
+pivots and then within blocks, where a task returns only links that join components. Each link is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from strandline.llm.common import connected_components, materialize, partitions,
 #: probability (1 - 0.75 ** 4) ** 40 = 2.5e-7.
 PERMS, ROWS = 80, 4
 BANDS = 2 * PERMS // ROWS
-#: Pairs whose signatures agree in less than this share are not verified; at similarity 0.75 the share
-#: has a standard deviation under 0.035.
+#: Pairs of a large bucket whose signatures agree in less than this share are not verified; at
+#: similarity 0.75 fewer than 93 of 160 values agree with probability under 1e-6, and less above it.
 AGREE = 0.58
 WORDS = 5
 BLOCK = 512
@@ -48,8 +49,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text that are hashed at once; longer texts are cut between words.
+TEXT_BYTES = 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 text, A-Z lower-cased."""
+    if len(data) <= TEXT_BYTES:
+        return _word_hashes(data)
+    parts, at = [], 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + TEXT_BYTES)
+        end = cut.end() if cut else len(data)
+        parts.append(_word_hashes(data[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
     b = _LOWER[np.frombuffer(data, np.uint8)]
     inside = ~_SPACE[b]
     edge = np.diff(inside.view(np.int8), prepend=0, append=0)
@@ -149,48 +167,76 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity."""
+    """The rows of pairs(u, v, ...) whose full sets reach the similarity."""
+    kept = pairs.columns
     both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("s").alias("su")), "u")
     both = both.join(sets.select(F.col("rep").alias("v"), F.col("s").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
-    both = both.select("u", "v", common.alias("i"), (F.size("su") + F.size("sv")).alias("n"))
-    return both.where(F.expr(f"100L * i >= {percent}L * (n - i)")).select("u", "v")
+    both = both.select(*kept, common.alias("i"), (F.size("su") + F.size("sv")).alias("n"))
+    return both.where(F.expr(f"100L * i >= {percent}L * (n - i)")).select(*kept)
+
+
+def _union(sets: dict[int, int], x: int) -> int:
+    while sets.setdefault(x, x) != x:
+        sets[x] = x = sets[sets[x]]
+    return x
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members(key, rep, comp, n, sketch, pivot) of a bucket that lie in different components, have sizes near enough and agree in their sketches. Buckets are cut into blocks."""
+def joined_components(comp, n, sketch, shingle_sets, side, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components of a block pair that a link joins, none that earlier ones join; links are confirmed on the full sets.
+
+    side: 0 or 1 for the block a member comes from; with both present only pairs across are compared.
+    """
+    sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(comp), -1)
+    joined: dict[int, int] = {}
+    need, across, out = AGREE * sk.shape[1], side.min() != side.max(), []
+    for x in range(len(comp)):
+        later = np.arange(x + 1, len(comp))
+        ok = later[(comp[later] != comp[x]) & (100 * np.minimum(n[later], n[x]) >= percent * np.maximum(n[later], n[x]))]
+        if across:
+            ok = ok[side[ok] != side[x]]
+        ok = ok[(sk[ok] == sk[x]).sum(axis=1) >= need]
+        for y in ok.tolist():
+            a, b = _union(joined, comp[x]), _union(joined, comp[y])
+            if a != b:
+                both = len(np.intersect1d(shingle_sets[x], shingle_sets[y], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    joined[a] = b
+                    out.append((int(comp[x]), int(comp[y])))
+    return out
+
+
+def cross_components(members: DataFrame, percent: int) -> DataFrame:
+    """Components (u, v) joined by links within the buckets of members(key, rep, comp, n, sketch, s).
+
+    Buckets are cut into blocks of BLOCK members; a task holds two blocks with their shingle sets,
+    verifies pairs there and returns joined components only, fewer than the two blocks have.
+    """
     parts = partitions(members.sparkSession)
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     m = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sketch", "pivot")
+    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sketch", "s")
     m = m.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def group(rows):
-        key, i, j, own, rep, comp, n, sketch, pivot = zip(*rows)
-        own, rep, comp, n = np.array(own), np.array(rep), np.array(comp), np.array(n, dtype=np.int64)
+        own, _, comp, n, sketch, s = list(zip(*rows))[3:]
+        comp = np.array(comp)
         if comp.min() == comp.max():
             return []
-        sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), -1)
-        need, out = AGREE * sk.shape[1], []
-        for x in range(len(rows)):
-            if rep[x] == pivot[x]:
-                continue
-            ok = np.flatnonzero((comp != comp[x]) & (rep > rep[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((own != own[x]) | (i[0] == j[0])))
-            ok = ok[(sk[ok] == sk[x]).sum(axis=1) >= need]
-            out.extend((int(rep[x]), int(rep[y])) for y in ok if rep[y] != pivot[y])
-        return out
+        return joined_components(comp, np.array(n, dtype=np.int64), sketch, s, np.array(own), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            out, sets = [], b.column("s")
+            first = zip(*(c.to_pylist() for c in b.columns[:-1]))
+            for k, row in enumerate(first):
                 if row[:3] != now:
                     if len(rows) > 1:
                         out += group(rows)
                     now, rows = row[:3], []
-                rows.append(row)
+                rows.append((*row, sets[k].values.to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
         out = group(rows) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
@@ -198,48 +244,107 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return m.mapInArrow(run, "u long, v long").distinct()
 
 
-def components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of documents(doc_id, text).
+def merged(label: DataFrame, joined: DataFrame) -> DataFrame:
+    """label(rep, component) once the components of joined(u, v) are one."""
+    root = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return materialize(label.join(root, "component", "left").select("rep", F.coalesce("root", "component").alias("component")))
 
-    Documents link when 100 * intersection >= percent * union of their shingle sets. Null texts and
-    texts without a word have an empty set and are a component of their own. doc_id names a document:
-    rows that repeat it fall into one component, whatever their texts. component_id is the smallest id of
-    a component; rows without an id take part and have kept = false, and a component of such rows
-    only has a null component_id. All rows are returned; other columns are ignored; an empty table gives no rows.
+
+def labelled(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows(doc_id, mark, n_shingles, rep) of every document, rep null for an empty set;
+    classes(rep, component) of every distinct set. mark is the digest of the text.
+
+    A class is first compared with one pivot, the smallest class that it shares a bucket with, so a
+    group of any size hangs on few pivots after one comparison for each class. What is linked is
+    contracted; only buckets whose members still differ in component are searched further: first each
+    member against its bucket's pivot, then block by block.
     """
     rows = materialize(sketches(docs))
     classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))  # a key of the class, fixed by the checkpoint
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
     buckets = materialize(keys.join(full, "key").select("key", "rep", "n", "m", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")))
     near = F.expr(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)")
-    pairs = buckets.where(F.col("rep") != F.col("pivot")).where(near).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
-    members = buckets.select("rep").distinct()
     texts = docs.where("text is not null").groupBy(F.md5("text").alias("mark")).agg(F.first("text").alias("text"))
-    sets = materialize(shingle_sets(texts.join(classes.select("rep", "mark").join(members, "rep"), "mark")))
-    links = materialize(confirmed(pairs, sets, percent))
-    comp = connected_components(links)
-    mixed = buckets.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    mixed = mixed.withColumn("component", F.coalesce("component", "rep"))
+    shared = buckets.select("rep").distinct()
+    sets = materialize(shingle_sets(texts.join(classes.select("rep", "mark").join(shared, "rep"), "mark")))
+    against = buckets.where("rep <> pivot").where(near)
+    links = confirmed(against.groupBy("rep").agg(F.min("pivot").alias("v")).select(F.col("rep").alias("u"), "v"), sets, percent)
+    label = merged(shared.select("rep", F.col("rep").alias("component")), links)
+
+    # each member against its bucket's pivot
+    pivots = label.select(F.col("rep").alias("pivot"), F.col("component").alias("pc"))
+    rest = buckets.where("rep <> pivot").where(near).join(label, "rep").join(pivots, "pivot").where("component <> pc")
+    rest = rest.groupBy(F.col("rep").alias("u"), F.col("pivot").alias("v")).agg(F.first("component").alias("cu"), F.first("pc").alias("cv"))
+    more = materialize(confirmed(rest, sets, percent).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    if more.limit(1).count():
+        label = merged(label, more)
+    # members of a bucket against each other; buckets of several bands with the same members are one
+    mixed = buckets.where("m > 2").join(label, "rep")
     several = mixed.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
-    inside = mixed.join(several, "key").join(classes.select("rep", "sketch"), "rep")
-    inside = inside.select("key", "rep", F.col("component").alias("comp"), "n", "sketch", "pivot")
-    more = materialize(confirmed(cross_pairs(inside, percent), sets, percent))
-    own = materialize(rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest").drop("digest"))
-    ids = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").drop("w")
-    same = own.join(ids, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
-    if more.limit(1).count() or same.limit(1).count():
-        # full joins: Spark 4.1 fails on a union of these checkpointed tables (key not found in UnionBase.rewriteConstraints)
-        comp = connected_components(links.join(more, ["u", "v"], "full").join(same, ["u", "v"], "full"))
-    label = classes.select("rep", "least").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    label = materialize(label.select("rep", "least", F.coalesce("component", "rep").alias("component")))
-    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    some = own.join(label.join(least, "component").select("rep", "component_id"), "rep").select("doc_id", "n_shingles", "component_id")
+    inside = mixed.join(several, "key")
+    alike = inside.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
+    alike = alike.groupBy("k", "h").agg(F.min("key").alias("key")).select("key")
+    inside = inside.join(alike, "key").select("key", "rep", "n", F.col("component").alias("comp"))
+    inside = inside.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+    more = materialize(cross_components(inside, percent))
+    if more.limit(1).count():
+        label = merged(label, more)
+    full = classes.select("rep", "digest").join(label, "rep", "left").select("rep", "digest", F.coalesce("component", "rep").alias("component"))
+    full = materialize(full)
+    own = rows.select("doc_id", "mark", "n_shingles", "digest").join(full.select("digest", "rep"), "digest", "left").drop("digest")
+    return materialize(own), full.select("rep", "component")
+
+
+def components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of documents(doc_id, text).
+
+    Documents link when 100 * intersection >= percent * union of their shingle sets. Null texts and
+    texts without a word have an empty set and are a component of their own. doc_id names a document:
+    rows that repeat it fall into one component, whatever their texts. component_id is the smallest id of
+    a component; rows without an id take part and have kept = false, and a component of such rows
+    only has a null component_id. All rows are returned; other columns are ignored; an empty table gives no rows.
+    Very long texts are sketched whole. Links that meet in no band or agree in less than AGREE of their
+    signature are lost with the probabilities stated at these constants; every other link is kept.
+    """
+    own, label = labelled(docs, percent)
+    some = own.where("rep is not null")
+    ids = some.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").drop("w")
+    same = some.join(ids, "doc_id").join(label, "rep").join(label.select(F.col("rep").alias("v"), F.col("component").alias("cv")), "v")
+    same = materialize(same.where("component <> cv").select(F.col("component").alias("u"), F.col("cv").alias("v")).distinct())
+    if same.limit(1).count():
+        label = merged(label, same)
+    some = some.join(label, "rep")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    some = some.join(least, "component").select("doc_id", "n_shingles", "component_id")
     # an id whose other row has words takes that row's component
-    none = rows.where("digest is null").select("doc_id", "n_shingles")
+    none = own.where("rep is null").select("doc_id", "n_shingles")
     named = some.join(none.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
     none = none.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def survivors(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of docs for each group of near-duplicates, with the columns of docs.
+
+    The row with the smallest doc_id stays (null after all ids, then by digest of the text); of rows
+    that repeat id and text one stays. Rows are told apart by id and text, so an id on two texts
+    decides each by itself. Rows with an empty set are in no group and all stay. An empty table gives no rows.
+    """
+    own, label = labelled(docs, percent)
+    worded = own.where("rep is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    keep = worded.join(label, "rep").groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.mark")
+    times = worded.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
+    same = F.col("keep.doc_id").eqNullSafe(F.col("times.doc_id")) & (F.col("keep.mark") == F.col("times.mark"))
+    keep = keep.alias("keep").join(times.alias("times"), same).select("keep.doc_id", "keep.mark", "times")
+    blank = own.where("rep is null and mark is not null").select("doc_id", "mark", F.lit(1).cast("long").alias("times")).distinct()
+    keep = keep.unionByName(blank).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("times").alias("_times"))
+    held = docs.where("text is not null").join(keep, (F.md5("text") == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    once = held.where("_times = 1").select(*docs.columns)
+    firsts = [F.first(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    again = held.where("_times > 1").groupBy("doc_id", "text").agg(F.count("*").alias("_times"), *firsts).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.where("text is null"))
