@@ -59,7 +59,7 @@ def chapter_state(index: Column, current: Column, furthest: Column, mark: Column
 def key_parts(key: Column) -> Column:
     """struct(platform, id, place) of a store key: file:<print>, x:<id>[:<n>] or a bare video id."""
     k = F.coalesce(key, F.lit(""))
-    place = F.coalesce(F.element_at(F.split(k, ":"), 3).try_cast("int"), F.lit(0))
+    place = F.coalesce(F.try_element_at(F.split(k, ":"), F.lit(3)).try_cast("int"), F.lit(0))
     post = k.startswith("x:")
     file = k.startswith("file:")
     return F.struct(

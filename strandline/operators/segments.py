@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,27 +46,65 @@ def sum_ahead(df: DataFrame, key: str, time: str, value: str, horizon: int) -> D
     return df.withColumn("ahead", F.sum(value).over(w))
 
 
-def recent_count(df: DataFrame, key: str, time: str, span: int, limit: int) -> DataFrame:
-    """Events of the key in the last `span`, itself included, and whether they are within the limit."""
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(-span + 1, 0)
-    return df.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= limit)
-
-
 def cumulative_share(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     run, all_ = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
     return df.withColumn("share", F.round(F.sum(value).over(run) / F.sum(value).over(all_), 4))
 
 
-def fill_gaps(df: DataFrame, key: str, position: str, value: str) -> DataFrame:
-    """Nulls between known values interpolated by position; beyond the ends the nearest value holds."""
+def fill_gaps(df: DataFrame, key: str, position: str, value: str, total: float) -> DataFrame:
+    """Nulls between known values interpolated by position; before the first known one from 0, behind the last one to `total`."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
-    df = df.withColumn("_k", known)
-    w = Window.partitionBy(key).orderBy(position)
+    w, whole = Window.partitionBy(key).orderBy(position), Window.partitionBy(key)
+    df = df.withColumn("_k", known).withColumn("_first", F.min(position).over(whole)).withColumn("_end", F.max(position).over(whole) + 1)
     df = df.withColumn("_a", F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("_b", F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    part = F.try_divide(F.col(position) - F.col("_a.p"), F.col("_b.p") - F.col("_a.p"))
-    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * part
-    return df.withColumn("filled", F.coalesce(F.col(value), line, F.col("_a.v"), F.col("_b.v"))).drop("_k", "_a", "_b")
+    # the first row stands at 0 and a row behind the last one at the total
+    a = F.coalesce("_a", F.struct(F.col("_first").alias("p"), F.lit(0.0).alias("v")))
+    b = F.coalesce("_b", F.struct(F.col("_end").alias("p"), F.lit(float(total)).alias("v")))
+    part = F.coalesce(F.try_divide(F.col(position) - a["p"], b["p"] - a["p"]), F.lit(0.0))
+    return df.withColumn("filled", F.coalesce(F.col(value), a["v"] + (b["v"] - a["v"]) * part)).drop("_k", "_a", "_b", "_first", "_end")
+
+
+def segment_at(points: DataFrame, segments: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """(key, tie, match): the last of segments(key, start, end, id) that begins at or before a point, if it holds the point; else null."""
+    ends = segments.withColumn("mark", F.struct(F.col("end").alias("end"), F.col("id").alias("id")))
+    found = asof_previous(points, ends.withColumnRenamed("start", time), key, time, tie, "mark")
+    return found.join(points.select(tie, F.col(time).alias("_t")), tie).select(key, tie, F.when(F.col("_t") < F.col("match.end"), F.col("match.id")).alias("match"))
+
+
+def next_end(points: DataFrame, segments: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """(key, tie, match): the first of segments(key, start, end, id) that ends after a point; a forward as-of match on ends."""
+    a = points.select(key, F.col(time).alias("_t"), tie, F.lit(1).alias("_point"), F.lit(None).cast("struct<end:bigint,id:bigint>").alias("_m"))
+    b = segments.select(key, F.col("end").alias("_t"), F.lit(None).cast(points.schema[tie].dataType).alias(tie), F.lit(0).alias("_point"), F.struct(F.col("end").cast("long").alias("end"), F.col("id").cast("long").alias("id")).alias("_m"))
+    # an end at the point itself comes before it and doesn't count
+    w = Window.partitionBy(key).orderBy("_t", "_point", "_m").rowsBetween(0, Window.unboundedFollowing)
+    return a.unionByName(b).withColumn("_f", F.first("_m", ignorenulls=True).over(w)).where("_point = 1").select(key, tie, F.col("_f.id").alias("match"))
+
+
+def soft_hard_limits(units: DataFrame, key: str, borrow: float = 2.0) -> DataFrame:
+    """units(key, place, start, end) with hard (the next start, or `borrow` after the end) and soft (at most `borrow` after the end)."""
+    pause = F.col("end") + borrow
+    hard = F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("place")), pause)
+    return units.withColumn("hard", hard).withColumn("soft", F.least(F.col("hard"), pause))
+
+
+def covered_until(units: DataFrame, now: DataFrame, key: str, open_: Column) -> DataFrame:
+    """(key, seconds): from now(key, at) to the first unit(key, start, end) still open that ends later; null if all are done."""
+    left = units.where(open_).join(now, key).where("end > at").groupBy(key).agg(F.min("start").alias("s"))
+    return now.join(left, key, "left").select(key, F.greatest(F.lit(0.0), F.col("s") - F.col("at")).alias("seconds"))
+
+
+def units_to_make(units: DataFrame, now: DataFrame, key: str, open_: Column, horizon: float, limit: int) -> DataFrame:
+    """The first `limit` open units of each key that end after now(key, at) and start within the horizon."""
+    near = units.where(open_).join(now, key).where(f"end > at and start <= at + {horizon}")
+    w = Window.partitionBy(key).orderBy("start", "place")
+    return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).select(key, "place")
+
+
+def owned_chunks(df: DataFrame, length: str, size: int, overlap: int = 0) -> DataFrame:
+    """fixed_windows with `limit`, the middle of the overlap from which a chunk owns what it holds, and the last chunk taking a short tail."""
+    cut = fixed_windows(df, length, size, overlap)
+    return cut.withColumn("limit", F.when(F.col("piece") == 0, 0).otherwise(F.col("start") + overlap // 2))
 
 
 def percentile(column: str, p: float):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
-from strandline.operators import merge, quality, search, segments
+from strandline.operators import merge, quality, search, segments, sequences
 from strandline.plans.registry import ORACLES, QUERIES, register
 from strandline.sources.tables import table
 
@@ -88,9 +88,11 @@ SELECT event_id, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDE
 )
 
 register("rate_limit", f"""
-WITH r AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY {MS} RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS recent FROM events)
-SELECT event_id, recent, recent <= 2 AS allowed FROM r""")(
-    lambda spark, sf: segments.recent_count(events(spark, sf), "user_id", "ms", 3_600_000, 2).select("event_id", "recent", "allowed")
+WITH RECURSIVE r AS (SELECT event_id, user_id, {MS} AS ms, row_number() OVER (PARTITION BY user_id ORDER BY {MS}, event_id) AS k FROM events),
+g AS (SELECT event_id, user_id, k, true AS allowed, [ms] AS held FROM r WHERE k = 1
+  UNION ALL SELECT event_id, user_id, k, len(h) < 2, CASE WHEN len(h) < 2 THEN h || [ms] ELSE h END FROM (SELECT r.*, list_filter(g.held, lambda x: x > r.ms - 3600000) AS h FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1))
+SELECT event_id, allowed FROM g""")(
+    lambda spark, sf: sequences.rate_limit(events(spark, sf), "user_id", "ms", "event_id", 3_600_000, 2).select("event_id", "allowed")
 )
 
 register("cumulative_share", """
@@ -100,11 +102,57 @@ SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orde
 
 register("fill_gaps", f"""
 WITH v AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events),
-k AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS a,
-  min(CASE WHEN v IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM v)
-SELECT k.event_id, round(coalesce(k.v, x.v + (y.v - x.v) * (k.event_id - a) / (b - a), x.v, y.v), 9) AS filled
-FROM k LEFT JOIN v x ON x.event_id = a LEFT JOIN v y ON y.event_id = b""")(
-    lambda spark, sf: segments.fill_gaps(events(spark, sf).withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value"))), "user_id", "event_id", "v").select("event_id", F.round("filled", 9).alias("filled"))
+k AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS a, min(event_id) OVER (PARTITION BY user_id) AS low, max(event_id) OVER (PARTITION BY user_id) + 1 AS high,
+  min(CASE WHEN v IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM v),
+j AS (SELECT k.*, coalesce(x.v, 0) AS va, coalesce(y.v, 1000) AS vb, coalesce(a, low) AS pa, coalesce(b, high) AS pb FROM k LEFT JOIN v x ON x.event_id = a LEFT JOIN v y ON y.event_id = b)
+SELECT event_id, round(coalesce(v, va + (vb - va) * coalesce((event_id - pa) / nullif(pb - pa, 0), 0)), 9) AS filled FROM j""")(
+    lambda spark, sf: segments.fill_gaps(events(spark, sf).withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value"))), "user_id", "event_id", "v", 1000.0).select("event_id", F.round("filled", 9).alias("filled"))
+)
+
+#: Events of three kinds as segments of one or two hours, the others as points.
+_SEG = f"""s AS (SELECT user_id, event_id AS id, {MS} AS a, {MS} + 3600000 * (1 + event_id % 2) AS z FROM events WHERE event_id % 3 = 0), p AS (SELECT user_id, event_id, {MS} AS ms FROM events WHERE event_id % 3 <> 0)"""
+
+
+def _points(spark, sf):
+    e = events(spark, sf)
+    seg = e.where("event_id % 3 = 0").select("user_id", F.col("event_id").alias("id"), F.col("ms").alias("start"), (F.col("ms") + 3_600_000 * (1 + F.col("event_id") % 2)).alias("end"))
+    return e.where("event_id % 3 <> 0").select("user_id", "event_id", "ms"), seg
+
+
+register("segment_at", f"""
+WITH {_SEG}, j AS (SELECT p.*, s.id, s.z, row_number() OVER (PARTITION BY event_id ORDER BY s.a DESC, s.z DESC, s.id DESC) AS k FROM p LEFT JOIN s ON s.user_id = p.user_id AND s.a <= p.ms)
+SELECT user_id, event_id, CASE WHEN ms < z THEN id END AS match FROM j WHERE k = 1""")(lambda spark, sf: segments.segment_at(*_points(spark, sf), "user_id", "ms", "event_id"))
+register("next_end", f"""
+WITH {_SEG}, j AS (SELECT p.*, s.id, row_number() OVER (PARTITION BY event_id ORDER BY s.z, s.id) AS k FROM p LEFT JOIN s ON s.user_id = p.user_id AND s.z > p.ms)
+SELECT user_id, event_id, id AS match FROM j WHERE k = 1""")(lambda spark, sf: segments.next_end(*_points(spark, sf), "user_id", "ms", "event_id"))
+
+
+def _units(spark, sf):
+    u = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("place")).agg(F.sum("l_quantity").alias("q"), F.max("l_returnflag").alias("flag"))
+    return u.select("l_orderkey", "place", (F.col("place") * 20).cast("double").alias("start"), (F.col("place") * 20 + F.least(F.col("q"), F.lit(30.0))).alias("end"), "flag")
+
+
+_UNITS = "u AS (SELECT l_orderkey, l_linenumber AS place, (l_linenumber * 20)::DOUBLE AS start, l_linenumber * 20 + least(sum(l_quantity), 30) AS \"end\", max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2)"
+_NOW = lambda spark, sf: table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 100).cast("double").alias("at"))
+
+register("unit_limits", f"""
+WITH {_UNITS}, l AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY l_orderkey ORDER BY place), "end" + 2) AS hard FROM u) SELECT l_orderkey, place, hard, least(hard, "end" + 2) AS soft FROM l""")(
+    lambda spark, sf: segments.soft_hard_limits(_units(spark, sf), "l_orderkey").select("l_orderkey", "place", "hard", "soft")
+)
+register("covered_seconds", f"""
+WITH {_UNITS}, n AS (SELECT o_orderkey AS l_orderkey, (o_orderkey % 100)::DOUBLE AS pos FROM orders)
+SELECT n.l_orderkey, greatest(0, min(start) - any_value(pos)) AS seconds FROM n LEFT JOIN u ON u.l_orderkey = n.l_orderkey AND flag <> 'R' AND "end" > pos GROUP BY 1""")(
+    lambda spark, sf: segments.covered_until(_units(spark, sf), _NOW(spark, sf), "l_orderkey", F.col("flag") != "R")
+)
+register("units_to_make", f"""
+WITH {_UNITS}, n AS (SELECT o_orderkey AS l_orderkey, (o_orderkey % 100)::DOUBLE AS pos FROM orders)
+SELECT l_orderkey, place FROM (SELECT u.l_orderkey, place, row_number() OVER (PARTITION BY u.l_orderkey ORDER BY start, place) AS k FROM u JOIN n USING (l_orderkey) WHERE flag <> 'R' AND "end" > pos AND start <= pos + 60) WHERE k <= 2""")(
+    lambda spark, sf: segments.units_to_make(_units(spark, sf), _NOW(spark, sf), "l_orderkey", F.col("flag") != "R", 60.0, 2)
+)
+register("owned_chunks", """
+WITH d AS (SELECT doc_id, n_chars, unnest(range(0, greatest(ceil((n_chars - 12) / 348.0)::BIGINT - 1, 0) + 1)) AS piece FROM documents WHERE n_chars > 0)
+SELECT doc_id, piece, piece * 348 AS start, least(piece * 348 + 360, n_chars) AS "end", CASE WHEN piece = 0 THEN 0 ELSE piece * 348 + 6 END AS "limit" FROM d""")(
+    lambda spark, sf: segments.owned_chunks(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", 360, 12).select("doc_id", "piece", "start", "end", "limit")
 )
 
 register("delay_metrics", """
