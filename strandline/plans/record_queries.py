@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.operators import records as R
-from strandline.plans.registry import register
+from strandline.plans.registry import expressions, register
 from strandline.sources.tables import table
 
 FOLD = f"translate(lower(%s), '{T.ACCENTED}', '{T.PLAIN}')"
@@ -18,19 +18,7 @@ _SQL_DOC = f"d AS (SELECT {_DOC.replace('IF(', 'if(')} FROM orders), e AS (SELEC
 
 
 def documents(spark, sf):
-    return table(spark, sf, "orders").selectExpr(*[x.strip() for x in _split(_DOC)])
-
-
-def _split(text: str) -> list[str]:
-    """Select expressions at top-level commas."""
-    out, depth = [""], 0
-    for c in text:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+    return table(spark, sf, "orders").selectExpr(*expressions(_DOC))
 
 
 register("sync_states", f"""
@@ -138,13 +126,13 @@ SELECT l_orderkey, l_linenumber, q, cut FROM r JOIN c USING (l_orderkey) WHERE r
 _ITEM = "l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'R' THEN 'failed' ELSE 'pending' END AS state, CAST(l_quantity AS INT) % 4 AS retries"
 register("queue_parts", f"""
 WITH i AS (SELECT {_ITEM} FROM lineitem) SELECT l_orderkey, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, sum(retries)::BIGINT AS retries, count(*) FILTER (state <> 'done') = 0 AS complete FROM i GROUP BY 1""")(
-    lambda spark, sf: R.queue_parts(table(spark, sf, "lineitem").selectExpr(*_split(_ITEM)), "l_orderkey")
+    lambda spark, sf: R.queue_parts(table(spark, sf, "lineitem").selectExpr(*expressions(_ITEM)), "l_orderkey")
 )
 register("queue_summary", f"""
 WITH i AS (SELECT {_ITEM} FROM lineitem), p AS (SELECT l_orderkey, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, sum(retries) AS retries FROM i GROUP BY 1)
 SELECT count(*) AS parts, count(*) FILTER (pending > 0) AS open, count(*) FILTER (pending = 0 AND failed > 0) AS broken, count(*) FILTER (pending = 0 AND failed = 0) AS complete, sum(pending)::BIGINT AS pending, sum(done)::BIGINT AS done, sum(failed)::BIGINT AS failed, sum(retries)::BIGINT AS retries,
   count(*) FILTER (pending + failed > 0) = 0 AS ready FROM p""")(
-    lambda spark, sf: R.queue_summary(table(spark, sf, "lineitem").selectExpr(*_split(_ITEM)), "l_orderkey")
+    lambda spark, sf: R.queue_summary(table(spark, sf, "lineitem").selectExpr(*expressions(_ITEM)), "l_orderkey")
 )
 _ERROR = "CASE o_orderkey % 8 WHEN 0 THEN 'HTTP 429 quota' WHEN 1 THEN '401 Unauthorized' WHEN 2 THEN 'Timeout after 9 s' WHEN 3 THEN 'Failed to fetch' WHEN 4 THEN 'HTTP 503' WHEN 5 THEN 'palabra perdida' WHEN 6 THEN 'other' END"
 register("queue_failures", f"""
@@ -154,7 +142,7 @@ SELECT o_orderkey, CASE WHEN k = 7 THEN 'pending' WHEN k IN (0, 1) OR r + 1 > 3
     lambda spark, sf: R.after_failure(table(spark, sf, "orders").selectExpr("o_orderkey", "'pending' AS state", "int(o_orderkey % 5) AS retries", f"{_ERROR} AS error"))
 )
 register("queue_resumed", f"WITH i AS (SELECT {_ITEM} FROM lineitem) SELECT l_orderkey, l_linenumber, CASE state WHEN 'failed' THEN 'pending' ELSE state END AS state, CASE state WHEN 'failed' THEN 0 ELSE retries END AS retries FROM i")(
-    lambda spark, sf: R.resume(table(spark, sf, "lineitem").selectExpr(*_split(_ITEM)))
+    lambda spark, sf: R.resume(table(spark, sf, "lineitem").selectExpr(*expressions(_ITEM)))
 )
 register("reusable_results", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS text FROM orders WHERE o_orderkey % 2 = 0 OR (o_orderkey % 3 > 0 AND o_orderkey % 6 >= 3)")(
     lambda spark, sf: R.reusable(table(spark, sf, "orders").selectExpr("o_orderkey", "IF(o_orderkey % 2 = 0, o_orderstatus, NULL) AS text"), table(spark, sf, "orders").where("o_orderkey % 3 > 0").selectExpr("o_orderkey", "o_orderkey % 6 AS tries"), "o_orderkey")

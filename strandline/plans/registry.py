@@ -20,3 +20,15 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def expressions(text: str) -> list[str]:
+    """A select list cut at its top-level commas, so that it can be written once for both engines."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
