@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import slices
+
 
 def verdicts(local: DataFrame, remote: DataFrame, key: str, stamp: str) -> DataFrame:
     """upload, download or same for each key of either side; the later stamp wins."""
@@ -30,10 +32,9 @@ def duplicate_groups(df: DataFrame, identity, key: str) -> DataFrame:
 
 def evict(df: DataFrame, group: str, order: str, size: str, budget: int, keep: float = 0.9) -> DataFrame:
     """Oldest rows to drop so that each group over its budget fits `keep` of it."""
-    newest = Window.partitionBy(group).orderBy(F.desc(order))
-    total = Window.partitionBy(group)
-    df = df.withColumn("held", F.sum(size).over(newest)).withColumn("total", F.sum(size).over(total))
-    return df.where((F.col("total") > budget) & (F.col("held") > budget * keep)).select(group, order, size)
+    total = df.groupBy(F.col(group).alias("_g")).agg(F.sum(size).alias("total")).where(F.col("total") > budget)
+    df = slices.running_sum(slices.cut(df, order), [group], [F.desc(order)], size, "held", down=True)
+    return df.join(total, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("held") > budget * keep).select(group, order, size)
 
 
 def missing_items(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -60,9 +60,14 @@ def tag_counts(df: DataFrame, tag: str, order: str) -> DataFrame:
     return df.where(F.col(tag).isNotNull()).groupBy(fold(F.col(tag)).alias("tag")).agg(F.count("*").alias("n"), F.min_by(tag, order).alias("label"))
 
 
-def running_lines(lines: DataFrame, doc: str, page: str, line: str, share: float = 0.4, least: int = 3) -> DataFrame:
-    """Lines that recur on at least max(least, ceil(share of pages)) pages of a document, digits dropped."""
-    key = F.trim(F.regexp_replace(F.regexp_replace(fold(F.col(line)), r"[0-9]+", ""), r"\s+", " "))
+def running_lines(lines: DataFrame, doc: str, page: str, place: str, line: str, share: float = 0.4, least: int = 3, most: int = 90) -> DataFrame:
+    """First and last lines of pages, at most `most` long, that recur on max(least, ceil(share of pages)) pages of a document; digits dropped.
+
+    lines(doc, page, place, line): blank ones don't count; documents with fewer than `least` pages have none.
+    """
+    some = lines.where(F.trim(F.coalesce(line, F.lit(""))) != "").groupBy(doc, page).agg(F.min_by(line, place).alias("first"), F.max_by(line, place).alias("last"))
     pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("pages"))
-    seen = lines.select(doc, page, key.alias("line")).where("line <> ''").groupBy(doc, "line").agg(F.countDistinct(page).alias("n"))
+    edge = some.select(doc, page, F.explode(F.array("first", "last")).alias("line")).where(F.length("line") <= most)
+    key = F.trim(F.regexp_replace(F.regexp_replace(fold(F.col("line")), r"[0-9]+", ""), r"\s+", " "))
+    seen = edge.select(doc, page, key.alias("line")).where("line <> ''").groupBy(doc, "line").agg(F.countDistinct(page).alias("n"))
     return seen.join(pages, doc).where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).select(doc, "line", "n", "pages")

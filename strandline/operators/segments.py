@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import slices
+
 
 def clip_overlaps(df: DataFrame, key: str, start: str, end: str, tie: str, least: int) -> DataFrame:
     """Ends clipped to the next start, but at least `least` after their own start."""
-    following = F.lead(start).over(Window.partitionBy(key).orderBy(start, tie))
-    return df.withColumn(end, F.greatest(F.least(F.col(end), F.coalesce(following, F.col(end))), F.col(start) + least))
+    df = slices.neighbour(slices.cut(df, start), [key], [start, tie], start, "_next", ahead=True)
+    return df.withColumn(end, F.greatest(F.least(F.col(end), F.coalesce("_next", F.col(end))), F.col(start) + least)).drop("_next", "_slice")
 
 
 def asof_previous(points: DataFrame, marks: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
-    """The latest mark of the key at or before each point; one sort of both sides, no range join."""
+    """The latest mark of the key at or before each point; one sort of both sides in slices of time, no range join."""
     a = points.select(key, time, tie, F.lit(1).alias("_point"), F.lit(None).cast(marks.schema[value].dataType).alias("match"))
     b = marks.select(key, time, F.lit(None).cast(points.schema[tie].dataType).alias(tie), F.lit(0).alias("_point"), F.col(value).alias("match"))
-    w = Window.partitionBy(key).orderBy(time, "_point", "match").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("match", F.last("match", ignorenulls=True).over(w))
-    return both.where("_point = 1").select(key, tie, "match")
+    both = slices.last_known(slices.cut(a.unionByName(b), time), [key], [time, "_point", "match"], F.col("match"), "_m")
+    return both.where("_point = 1").select(key, tie, F.col("_m").alias("match"))
 
 
 def interval_overlaps(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
@@ -34,16 +35,15 @@ def interval_overlaps(left: DataFrame, right: DataFrame, key: str, width: int) -
 
 def gap_sessions(df: DataFrame, key: str, time: str, tie: str, gap: int) -> DataFrame:
     """Runs of a key whose neighbours are at most `gap` apart."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("long"), F.lit(1))
-    got = df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
+    df = slices.neighbour(slices.cut(df, time), [key], [time, tie], time, "_before", ahead=False)
+    df = df.withColumn("_new", F.coalesce((F.col(time) - F.col("_before") > gap).cast("long"), F.lit(1)))
+    got = slices.running_sum(df, [key], [time, tie], "_new", "session")
     return got.groupBy(key, "session").agg(F.count("*").alias("n"), F.min(time).alias("first_ms"), F.max(time).alias("last_ms"))
 
 
 def sum_ahead(df: DataFrame, key: str, time: str, value: str, horizon: int) -> DataFrame:
     """Sum of a whole-numbered time's rows from each row up to, not at, `horizon` later."""
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(0, horizon - 1)
-    return df.withColumn("ahead", F.sum(value).over(w))
+    return slices.range_sum(df, [key], time, value, "ahead", horizon)
 
 
 def cumulative_share(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -54,15 +54,15 @@ def cumulative_share(df: DataFrame, key: str, order: str, value: str) -> DataFra
 def fill_gaps(df: DataFrame, key: str, position: str, value: str, total: float) -> DataFrame:
     """Nulls between known values interpolated by position; before the first known one from 0, behind the last one to `total`."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
-    w, whole = Window.partitionBy(key).orderBy(position), Window.partitionBy(key)
-    df = df.withColumn("_k", known).withColumn("_first", F.min(position).over(whole)).withColumn("_end", F.max(position).over(whole) + 1)
-    df = df.withColumn("_a", F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_b", F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    ends = df.groupBy(F.col(key).alias("_key")).agg(F.min(position).alias("_first"), (F.max(position) + 1).alias("_end"))
+    df = slices.cut(df, position)
+    df = slices.last_known(slices.last_known(df, [key], [position], known, "_a"), [key], [position], known, "_b", ahead=True)
+    df = df.join(ends, F.col(key).eqNullSafe(F.col("_key")))
     # the first row stands at 0 and a row behind the last one at the total
     a = F.coalesce("_a", F.struct(F.col("_first").alias("p"), F.lit(0.0).alias("v")))
     b = F.coalesce("_b", F.struct(F.col("_end").alias("p"), F.lit(float(total)).alias("v")))
     part = F.coalesce(F.try_divide(F.col(position) - a["p"], b["p"] - a["p"]), F.lit(0.0))
-    return df.withColumn("filled", F.coalesce(F.col(value), a["v"] + (b["v"] - a["v"]) * part)).drop("_k", "_a", "_b", "_first", "_end")
+    return df.withColumn("filled", F.coalesce(F.col(value), a["v"] + (b["v"] - a["v"]) * part)).drop("_a", "_b", "_first", "_end", "_key", "_slice")
 
 
 def segment_at(points: DataFrame, segments: DataFrame, key: str, time: str, tie: str) -> DataFrame:
@@ -77,8 +77,8 @@ def next_end(points: DataFrame, segments: DataFrame, key: str, time: str, tie: s
     a = points.select(key, F.col(time).alias("_t"), tie, F.lit(1).alias("_point"), F.lit(None).cast("struct<end:bigint,id:bigint>").alias("_m"))
     b = segments.select(key, F.col("end").alias("_t"), F.lit(None).cast(points.schema[tie].dataType).alias(tie), F.lit(0).alias("_point"), F.struct(F.col("end").cast("long").alias("end"), F.col("id").cast("long").alias("id")).alias("_m"))
     # an end at the point itself comes before it and doesn't count
-    w = Window.partitionBy(key).orderBy("_t", "_point", "_m").rowsBetween(0, Window.unboundedFollowing)
-    return a.unionByName(b).withColumn("_f", F.first("_m", ignorenulls=True).over(w)).where("_point = 1").select(key, tie, F.col("_f.id").alias("match"))
+    both = slices.last_known(slices.cut(a.unionByName(b), "_t"), [key], ["_t", "_point", "_m"], F.col("_m"), "_f", ahead=True)
+    return both.where("_point = 1").select(key, tie, F.col("_f.id").alias("match"))
 
 
 def soft_hard_limits(units: DataFrame, key: str, borrow: float = 2.0) -> DataFrame:

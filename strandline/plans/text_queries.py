@@ -77,13 +77,14 @@ SELECT doc_id, count(*) FILTER (before IS NULL OR before <> line) AS n_lines,
 )
 
 register("running_lines", f"""
-WITH l AS (SELECT lang, doc_id, trim(regexp_replace(regexp_replace({FOLD % 'line'}, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS line
-  FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-p AS (SELECT lang, count(DISTINCT doc_id) AS pages FROM l GROUP BY lang)
+WITH a AS (SELECT lang, doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT lang, doc_id, [x FOR x IN t IF trim(x) <> ''] AS t FROM a),
+e AS (SELECT lang, doc_id, unnest([t[1], t[-1]]) AS line FROM w WHERE len(t) > 0),
+l AS (SELECT lang, doc_id, trim(regexp_replace(regexp_replace({FOLD % 'line'}, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS line FROM e WHERE length(line) <= 90),
+p AS (SELECT lang, count(DISTINCT doc_id) AS pages FROM a GROUP BY lang)
 SELECT l.lang, line, count(DISTINCT doc_id) AS n, pages FROM l JOIN p USING (lang) WHERE line <> '' GROUP BY l.lang, line, pages
 HAVING count(DISTINCT doc_id) >= greatest(3, ceil(pages * 0.005))""")(
     lambda spark, sf: search.running_lines(
-        table(spark, sf, "documents").select("lang", "doc_id", F.explode(F.split("text", "\n")).alias("line")), "lang", "doc_id", "line", share=0.005
+        table(spark, sf, "documents").select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")), "lang", "doc_id", "place", "line", share=0.005
     )
 )
 
