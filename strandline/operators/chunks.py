@@ -1,6 +1,6 @@
 """Chunks of texts: sentences, reading units, exact blocks, packed paragraphs, captions.
 
-Sentences, blank-line blocks and cores are column expressions. The other rules look back at what they have
+Sentences, blank-line blocks and cores are expressions. The other rules look back at what they have
 cut so far, so a text is cut by a small helper within Arrow batches; texts are independent rows.
 """
 
@@ -36,14 +36,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u001e"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
-def blank_blocks(text: Column) -> Column:
-    """Array of struct(start, text) of the blocks between blank lines; start is a character offset."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n[ \t]*\n", "\n\u001e\n"), "\u001e")
-    # a block begins after all before it, with the blank lines as long as they were
-    whole = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(\n[ \t]*\n)", "\u001e$1\u001e"), "\u001e")
-    starts = F.aggregate(whole, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x)))
-    parts = F.transform(F.filter(F.arrays_zip(F.slice(starts, 1, F.size(whole)).alias("start"), whole.alias("text")), lambda p: F.trim(F.regexp_replace(p["text"], r"\s", "")) != ""), lambda p: p)
-    return F.when(F.size(cut) > 0, parts)
+def blank_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, end, text) of the blocks between blank lines, without outer blanks; offsets are in characters."""
+    whole = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(\n{2,})", "\u001e$1\u001e"), "\u001e")
+    starts = F.aggregate(F.transform("_w", lambda x: F.length(x)), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    rows = df.select(key, whole.alias("_w")).select(key, F.explode(F.arrays_zip(F.slice(starts, 1, F.size("_w")).alias("s"), F.col("_w").alias("t"))).alias("p")).select(key, "p.*")
+    left = F.length("t") - F.length(F.regexp_replace("t", r"^\s+", ""))
+    inner = F.regexp_replace("t", r"^\s+|\s+$", "")
+    return rows.select(key, (F.col("s") + left).alias("start"), (F.col("s") + left + F.length(inner)).alias("end"), inner.alias("text")).where("text <> ''")
 
 
 def core(text: Column) -> Column:

@@ -20,6 +20,13 @@ WITH s AS (SELECT doc_id, unnest([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR
 SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS chars, max(length(s))::INT AS longest FROM s WHERE s <> '' GROUP BY 1""")(
     lambda spark, sf: docs(spark, sf).select("doc_id", F.explode(C.sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), F.max(F.length("s")).alias("longest"))
 )
+register("blank_blocks", r"""
+WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '(\n{2,})', chr(30) || '\1' || chr(30), 'g'), chr(30)) AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(w) AS t, unnest([list_sum([length(x) FOR x IN w[1:i]]) - length(w[i]) FOR i IN range(1, len(w) + 1)]) AS s FROM w),
+i AS (SELECT doc_id, s + length(t) - length(regexp_replace(t, '^\s+', '')) AS start, regexp_replace(t, '^\s+|\s+$', '', 'g') AS text FROM p)
+SELECT doc_id, start::INT AS start, (start + length(text))::INT AS "end", md5(text) AS digest FROM i WHERE text <> ''""")(
+    lambda spark, sf: C.blank_blocks(docs(spark, sf), "doc_id", "text").select("doc_id", "start", "end", F.md5("text").alias("digest"))
+)
 register("core_parts", r"""
 SELECT conv_id, turn, k % 3 AS before, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS core, k % 2 AS after FROM (SELECT *, (conv_id + turn)::INT AS k FROM conversations) WHERE trim(coalesce(text, '')) <> ''""")(
     lambda spark, sf: table(spark, sf, "conversations").where("trim(coalesce(text, '')) <> ''").select("conv_id", "turn", C.core(F.expr("concat(repeat('\n', int((conv_id + turn) % 3)), regexp_replace(text, '^\\\\s+|\\\\s+$', ''), repeat(' ', int((conv_id + turn) % 2)))")).alias("c"))
