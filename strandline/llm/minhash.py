@@ -3,9 +3,8 @@
 Each of PERMS multiplicative permutations of a document's shingle hashes gives its minimum and its
 maximum, so 2 * PERMS signature values cost PERMS evaluations. Bands of ROWS values make buckets.
 Exact copies are one class from the start. Every class is first compared with one pivot; what is
-linked is contracted. Buckets that still hold several components are searched further, against their
-pivots and then within blocks, where a task returns only links that join components. Each link is
-confirmed on the full shingle sets.
+linked is contracted. Buckets that still hold several components are searched further within blocks,
+where a task returns only components that a link joins. Each link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ BANDS = 2 * PERMS // ROWS
 #: similarity 0.75 fewer than 93 of 160 values agree with probability under 1e-6, and less above it.
 AGREE = 0.58
 WORDS = 5
+#: Members that a task compares with as many others at once.
 BLOCK = 512
 
 _rng = np.random.default_rng(75)
@@ -176,27 +176,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100L * i >= {percent}L * (n - i)")).select(*kept)
 
 
+def _near(comp, n, sk, side, x: int, percent: int) -> np.ndarray:
+    """Members behind x of another component (and block, where there are two) of a size and a signature near enough."""
+    later = np.arange(x + 1, len(comp))
+    ok = later[(comp[later] != comp[x]) & (100 * np.minimum(n[later], n[x]) >= percent * np.maximum(n[later], n[x]))]
+    if side.min() != side.max():
+        ok = ok[side[ok] != side[x]]
+    return ok[(sk[ok] == sk[x]).sum(axis=1) >= AGREE * sk.shape[1]]
+
+
 def _union(sets: dict[int, int], x: int) -> int:
     while sets.setdefault(x, x) != x:
         sets[x] = x = sets[sets[x]]
     return x
 
 
-def joined_components(comp, n, sketch, shingle_sets, side, percent: int) -> list[tuple[int, int]]:
-    """Pairs of components of a block pair that a link joins, none that earlier ones join; links are confirmed on the full sets.
-
-    side: 0 or 1 for the block a member comes from; with both present only pairs across are compared.
-    """
-    sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(comp), -1)
+def joined_components(comp, n, sk, shingle_sets, side, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that a link joins, none that earlier ones join; links are confirmed on the full sets."""
     joined: dict[int, int] = {}
-    need, across, out = AGREE * sk.shape[1], side.min() != side.max(), []
+    out = []
     for x in range(len(comp)):
-        later = np.arange(x + 1, len(comp))
-        ok = later[(comp[later] != comp[x]) & (100 * np.minimum(n[later], n[x]) >= percent * np.maximum(n[later], n[x]))]
-        if across:
-            ok = ok[side[ok] != side[x]]
-        ok = ok[(sk[ok] == sk[x]).sum(axis=1) >= need]
-        for y in ok.tolist():
+        for y in _near(comp, n, sk, side, x, percent).tolist():
             a, b = _union(joined, comp[x]), _union(joined, comp[y])
             if a != b:
                 both = len(np.intersect1d(shingle_sets[x], shingle_sets[y], assume_unique=True))
@@ -206,42 +206,77 @@ def joined_components(comp, n, sketch, shingle_sets, side, percent: int) -> list
     return out
 
 
-def cross_components(members: DataFrame, percent: int) -> DataFrame:
-    """Components (u, v) joined by links within the buckets of members(key, rep, comp, n, sketch, s).
+def by_blocks(members: DataFrame, group, names: list[str]) -> DataFrame:
+    """Distinct rows (longs) of group(rep, comp, n, sketches, sets, side) over pairs of blocks of each key's members.
 
-    Buckets are cut into blocks of BLOCK members; a task holds two blocks with their shingle sets,
-    verifies pairs there and returns joined components only, fewer than the two blocks have.
+    members(key, rep, comp, n, sketch[, s]) of a key are cut into blocks of BLOCK; a task holds two of them.
+    side is the block that a member comes from; with two present, pairs across are meant.
     """
-    parts = partitions(members.sparkSession)
+    parts, full = partitions(members.sparkSession), "s" in members.columns
     size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     m = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sketch", "s")
+    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sketch", *["s"] * full)
     m = m.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-    def group(rows):
-        own, _, comp, n, sketch, s = list(zip(*rows))[3:]
+    def found(rows):
+        side, rep, comp, n, sketch, s = list(zip(*rows))[3:]
         comp = np.array(comp)
-        if comp.min() == comp.max():
+        if len(rows) < 2 or comp.min() == comp.max():
             return []
-        return joined_components(comp, np.array(n, dtype=np.int64), sketch, s, np.array(own), percent)
+        sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), -1)
+        return group(np.array(rep), comp, np.array(n, dtype=np.int64), sk, s, np.array(side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(len(names))], names)
         for b in batches:
-            out, sets = [], b.column("s")
-            first = zip(*(c.to_pylist() for c in b.columns[:-1]))
-            for k, row in enumerate(first):
+            out, sets = [], b.column("s") if full else None
+            for k, row in enumerate(zip(*(c.to_pylist() for c in b.columns[:8]))):
                 if row[:3] != now:
-                    if len(rows) > 1:
-                        out += group(rows)
+                    if rows:
+                        out += found(rows)
                     now, rows = row[:3], []
-                rows.append((*row, sets[k].values.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
-        out = group(rows) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
+                rows.append((*row, sets[k].values.to_numpy() if full else None))
+            yield batch(out)
+        yield batch(found(rows) if rows else [])
 
-    return m.mapInArrow(run, "u long, v long").distinct()
+    return m.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+
+
+def with_candidates(members: DataFrame, percent: int) -> DataFrame:
+    """rep of each member whose signature is near that of a member of another component."""
+
+    def group(rep, comp, n, sk, _, side):
+        hit = np.zeros(len(rep), bool)
+        for x in range(len(rep)):
+            near = _near(comp, n, sk, side, x, percent)
+            hit[near] = True
+            hit[x] |= len(near) > 0
+        return [(int(r),) for r in rep[hit]]
+
+    return by_blocks(members, group, ["rep"])
+
+
+def cross_components(members: DataFrame, percent: int) -> DataFrame:
+    """Components (u, v) joined by links between members(key, rep, comp, n, sketch, s) of a key; a task returns fewer than its blocks have."""
+    return by_blocks(members, lambda _, *rest: joined_components(*rest, percent), ["u", "v"])
+
+
+def hung(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(rep, component) of nodes(rep) that hang on parents(u, v), v < u, one for each u at most: each on the root of its tree.
+
+    Every round doubles the distance that a node looks up.
+    """
+    label = nodes.join(parents.select(F.col("u").alias("rep"), "v"), "rep", "left").select("rep", F.coalesce("v", "rep").alias("component"))
+    for _ in range(64):
+        label = materialize(label)
+        up = label.select(F.col("rep").alias("component"), F.col("component").alias("root"))
+        step = materialize(label.join(up, "component").select("rep", "component", "root"))
+        label = step.select("rep", F.col("root").alias("component"))
+        if not step.where("component <> root").limit(1).count():
+            return label
+    raise RuntimeError("trees deeper than 2 ** 64")
 
 
 def merged(label: DataFrame, joined: DataFrame) -> DataFrame:
@@ -256,8 +291,8 @@ def labelled(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
 
     A class is first compared with one pivot, the smallest class that it shares a bucket with, so a
     group of any size hangs on few pivots after one comparison for each class. What is linked is
-    contracted; only buckets whose members still differ in component are searched further: first each
-    member against its bucket's pivot, then block by block.
+    contracted; only buckets whose members still differ in component are searched further, block by
+    block, those of one pivot together.
     """
     rows = materialize(sketches(docs))
     classes = rows.where("digest is not null").groupBy("digest").agg(
@@ -273,23 +308,16 @@ def labelled(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     sets = materialize(shingle_sets(texts.join(classes.select("rep", "mark").join(shared, "rep"), "mark")))
     against = buckets.where("rep <> pivot").where(near)
     links = confirmed(against.groupBy("rep").agg(F.min("pivot").alias("v")).select(F.col("rep").alias("u"), "v"), sets, percent)
-    label = merged(shared.select("rep", F.col("rep").alias("component")), links)
-
-    # each member against its bucket's pivot
-    pivots = label.select(F.col("rep").alias("pivot"), F.col("component").alias("pc"))
-    rest = buckets.where("rep <> pivot").where(near).join(label, "rep").join(pivots, "pivot").where("component <> pc")
-    rest = rest.groupBy(F.col("rep").alias("u"), F.col("pivot").alias("v")).agg(F.first("component").alias("cu"), F.first("pc").alias("cv"))
-    more = materialize(confirmed(rest, sets, percent).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    if more.limit(1).count():
-        label = merged(label, more)
-    # members of a bucket against each other; buckets of several bands with the same members are one
+    label = hung(shared, links)
     mixed = buckets.where("m > 2").join(label, "rep")
+    two = buckets.where("m = 2 and rep <> pivot").where(near).join(label, "rep").join(label.select(F.col("rep").alias("pivot"), F.col("component").alias("pc")), "pivot").where("component <> pc")
     several = mixed.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
-    inside = mixed.join(several, "key")
-    alike = inside.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
-    alike = alike.groupBy("k", "h").agg(F.min("key").alias("key")).select("key")
-    inside = inside.join(alike, "key").select("key", "rep", "n", F.col("component").alias("comp"))
-    inside = inside.join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+    inside = mixed.join(several, "key").select("pivot", "rep", "n", "component")
+    both = F.explode(F.array(F.struct("rep", "n", "component"), F.struct(F.col("pivot").alias("rep"), F.col("pn").alias("n"), F.col("pc").alias("component"))))
+    inside = inside.unionByName(two.select("pivot", both.alias("x")).select("pivot", "x.*"))
+    unit = inside.groupBy(F.col("pivot").alias("key"), "rep").agg(F.first("component").alias("comp"), F.first("n").alias("n"))
+    unit = materialize(unit.join(classes.select("rep", "sketch"), "rep"))
+    inside = unit.join(with_candidates(unit, percent), "rep").join(sets, "rep")
     more = materialize(cross_components(inside, percent))
     if more.limit(1).count():
         label = merged(label, more)
