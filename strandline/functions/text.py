@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented Latin letters and what they fold to.
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once for a row, however often it is used: it comes out of a generator, so its uses are no copies of the expression."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents; null stays null."""
     return F.translate(F.lower(c), ACCENTED, PLAIN)

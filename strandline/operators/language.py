@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.library import short_code
-from strandline.functions.text import ACCENTED, PLAIN
+from strandline.functions.text import ACCENTED, PLAIN, once
 
 #: Very frequent words of the two languages that are told apart by words.
 ENGLISH = (
@@ -52,7 +52,7 @@ def word_evidence(df: DataFrame, text: str, chars: int = WORD_CHARS) -> DataFram
     Marks that only one language writes count as three words each, up to twelve. Ties have no language.
     """
     head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars)
-    df = df.withColumn("_h", head).withColumn("_t", F.regexp_extract_all(F.lower("_h"), F.lit("[a-záéíóúüñ]+"), F.lit(0)))
+    df = once(df.withColumn("_h", head), "_t", F.regexp_extract_all(F.lower("_h"), F.lit("[a-záéíóúüñ]+"), F.lit(0)))
     fold = lambda ws: [w.translate(str.maketrans(ACCENTED, PLAIN)) for w in ws]
     plain = F.transform("_t", lambda w: F.translate(w, ACCENTED, PLAIN))
     # as in the reference, words of the text lose their accents and listed ones keep theirs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import words
+from strandline.functions.text import once, words
 
 #: Frequent words of titles by language.
 FREQUENT = {
@@ -30,7 +30,7 @@ def title_language(df: DataFrame, text: str) -> DataFrame:
     """df with a count of frequent words for each language, lang and confidence; no language without any or on a tie."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TITLE_WORD), F.lit(0))
     known = sorted({w for ws in FREQUENT.values() for w in ws})
-    df = df.withColumn("_t", F.filter(tokens, lambda w: w.isin(known)))
+    df = once(df, "_t", F.filter(tokens, lambda w: w.isin(known)))
     for k, ws in FREQUENT.items():
         df = df.withColumn(k, F.size(F.filter("_t", _is_in(ws))).cast("long"))
     top = F.sort_array(F.array(*FREQUENT), asc=False)

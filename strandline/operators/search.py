@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import count_in, fold, search_terms
+from strandline.functions.text import count_in, fold, once, search_terms
 
 
 def bm25(docs: DataFrame, question: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -18,7 +18,7 @@ def bm25(docs: DataFrame, question: str, k: int = 10, k1: float = 1.5, b: float
     corpus statistics (one row), a second one the scores.
     """
     terms = list(dict.fromkeys(docs.sparkSession.range(1).select(search_terms(F.lit(question))).first()[0]))
-    tokens = docs.select("doc_id", search_terms(F.col("text")).alias("t"))
+    tokens = once(docs.select("doc_id", "text"), "t", search_terms(F.col("text")))
     counted = tokens.select("doc_id", F.struct(F.size("t").alias("n"), F.filter("t", lambda w: w.isin(terms)).alias("h")).alias("c"))
     full = counted.where(F.col("c.n") > 0)
     stats = full.agg(F.count("*").alias("n"), F.avg("c.n").alias("mean"), *[F.count_if(F.array_contains("c.h", t)).alias(f"d{i}") for i, t in enumerate(terms)]).first()
@@ -33,7 +33,7 @@ def bm25(docs: DataFrame, question: str, k: int = 10, k1: float = 1.5, b: float
 
 def term_stats(docs: DataFrame) -> DataFrame:
     """Documents and occurrences of every term, in one partially aggregated shuffle by term."""
-    tokens = docs.select(search_terms(F.col("text")).alias("t"))
+    tokens = once(docs.select("text"), "t", search_terms(F.col("text")))
     one = lambda df, tf: lambda w: F.struct(w.alias("term"), F.lit(df).alias("df"), F.lit(tf).alias("tf"))
     rows = tokens.select(F.explode(F.concat(F.transform(F.array_distinct("t"), one(1, 0)), F.transform("t", one(0, 1)))).alias("r")).select("r.*")
     return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
