@@ -26,7 +26,7 @@ register("atom_text", "SELECT conv_id, turn, md5(regexp_replace('office ' || coa
     lambda spark, sf: turns(spark, sf, "concat('oﬃce ', coalesce(text, ''), ' \u0001x')").select("conv_id", "turn", F.md5(N.atom_text(F.col("t"))).alias("digest"))
 )
 register("fragments", r"""
-SELECT conv_id, turn, coalesce(regexp_extract(coalesce(text, ''), '(\p{L}[\p{L}\p{M}''’-]*)\s*$', 1), '') AS last, coalesce(regexp_extract(coalesce(text, ''), '^\s*(\p{L}[\p{L}\p{M}''’-]*)', 1), '') AS first, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS letters FROM conversations""")(
+SELECT conv_id, turn, coalesce(regexp_extract(coalesce(text, ''), '(\p{L}[\p{L}\p{M}''’-]*)\s*$', 1), '') AS last, coalesce(regexp_extract(coalesce(text, ''), '^\s*(\p{L}[\p{L}\p{M}''’-]*)', 1), '') AS first, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g'))::INT AS letters FROM conversations""")(
     lambda spark, sf: turns(spark, sf).select("conv_id", "turn", N.last_fragment(F.col("t")).alias("last"), N.first_fragment(F.col("t")).alias("first"), F.length(N.without_blanks(F.concat(F.col("t"), F.lit("­")))).alias("letters"))
 )
 register("long_tokens", "SELECT o_orderkey, o_orderkey % 6 < 4 AS long, o_orderkey % 3 = 0 AS sha FROM orders")(

@@ -90,7 +90,7 @@ def _playlists(spark, sf):
 
 
 register("audio_segments", """
-SELECT l_orderkey, row_number() OVER w AS piece, 's' || l_linenumber || '.m4s' AS uri, round(sum(l_quantity / 4) OVER w - l_quantity / 4, 3) AS start, l_quantity / 4 AS duration
+SELECT l_orderkey, (row_number() OVER w)::INT AS piece, 's' || l_linenumber || '.m4s' AS uri, round(sum(l_quantity / 4) OVER w - l_quantity / 4, 3) AS start, l_quantity / 4 AS duration
 FROM lineitem WHERE l_linenumber % 4 <> 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, (l_quantity / 4)::VARCHAR ROWS UNBOUNDED PRECEDING)""")(lambda spark, sf: P.audio_segments(_playlists(spark, sf), "l_orderkey", "text"))
 
 register("audio_track", """
