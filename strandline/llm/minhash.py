@@ -363,16 +363,12 @@ def survivors(docs: DataFrame, percent: int = 75) -> DataFrame:
     decides each by itself. Rows with an empty set are in no group and all stay. An empty table gives no rows.
     """
     own, label = labelled(docs, percent)
-    worded = own.where("rep is not null")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    keep = worded.join(label, "rep").groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.mark")
-    times = worded.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
-    same = F.col("keep.doc_id").eqNullSafe(F.col("times.doc_id")) & (F.col("keep.mark") == F.col("times.mark"))
-    keep = keep.alias("keep").join(times.alias("times"), same).select("keep.doc_id", "keep.mark", "times")
-    blank = own.where("rep is null and mark is not null").select("doc_id", "mark", F.lit(1).cast("long").alias("times")).distinct()
-    keep = keep.unionByName(blank).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("times").alias("_times"))
-    held = docs.where("text is not null").join(keep, (F.md5("text") == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    once = held.where("_times = 1").select(*docs.columns)
-    firsts = [F.first(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
-    again = held.where("_times > 1").groupBy("doc_id", "text").agg(F.count("*").alias("_times"), *firsts).select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.where("text is null"))
+    keep = own.where("rep is not null").join(label, "rep").groupBy("component").agg(F.min(order).alias("k"))
+    id_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keep = keep.select(F.col("k.mark").alias("_mark"), id_of(F.col("k.doc_id")).alias("_id"))
+    # copies of a row meet where the texts are dealt by these keys, and the kept ones are joined there: texts move once
+    word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    keys = F.md5("text").alias("_mark"), id_of(F.col("doc_id").cast("long")).alias("_id")
+    rows = docs.where(word).groupBy(*keys).agg(*[F.first(c).alias(c) for c in docs.columns])
+    return rows.join(keep, ["_mark", "_id"]).select(*docs.columns).unionByName(docs.where(~word))
