@@ -166,7 +166,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     )
     base = shared_path(spark, "prefix-trie")
     nodes.write.partitionBy("level").parquet(f"{base}/nodes")
-    nodes = spark.read.parquet(f"{base}/nodes")
+    nodes = spark.read.schema(nodes.schema).parquet(f"{base}/nodes")  # an empty table has no files
     top, added, done = nodes.agg(F.max("level")).first()[0], None, []
     for k in range(-1 if top is None else top, -1, -1):
         path = f"{base}/level-{k}"

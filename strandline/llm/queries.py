@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import byte_bpe, embedding, langid, licenses, media, minhash, packing, prefix_trie, sharding, token_counts, toxicity, vector_codes
+from strandline.llm import byte_bpe, config_packing, embedding, langid, licenses, media, minhash, packing, prefix_trie, sharding, token_counts, toxicity, vector_codes
 from strandline.llm.common import shared_path, table
 
 #: Byte limit of a shard.
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +73,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_packing, op2_embedding_near_dedup, op3_token_counts, op4_byte_bpe, op5_sharding, op6_minhash, op7_language_id, op8_media_columns, op9_license_scan, op10_toxicity,
-    op12_vector_codes, op13_prefix_trie,
+    op11_config_packing, op12_vector_codes, op13_prefix_trie,
 )}
 
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
