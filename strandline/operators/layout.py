@@ -52,6 +52,24 @@ def lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return scan(rows, "_page", ["item"], list, step, "line long").drop("_page", "_tol")
 
 
+def reading_order(pieces: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
+    """pieces(keys, item, str, x, y, width, height, rtl) with their place (from 0) in the order in which a page is read.
+
+    A page is a stack of bands, highest y first: pieces of a band are on one line. Within a band come pieces that
+    span the page (wider than FULL of it, or across the gap between its columns), then column by column; from right
+    to left where most pieces of the page are. Equals keep the order of their items. A page is one window."""
+    lined = lines(pieces, keys)
+    page = pieces.groupBy(*keys).agg((F.count_if(F.coalesce("rtl", F.lit(False))) * 2 > F.count("*")).alias("_rtl"))
+    bands = lined.groupBy(*keys, "line").agg(F.round(F.avg("y"), 6).alias("_band"))
+    rows = lined.join(bands, [*keys, "line"]).join(columns(pieces, keys, width).select(*keys, "split"), keys, "left").join(page, keys)
+    wide = F.coalesce("width", F.lit(0.0))
+    spans = F.col("split").isNotNull() & ((wide > width * FULL) | (F.col("x") < F.col("split")) & (F.col("x") + wide > F.col("split")))
+    column = F.when(F.col("split").isNull() | (F.col("x") < F.col("split")), 0).otherwise(1)
+    turn = F.when(F.col("_rtl"), -1).otherwise(1)
+    w = Window.partitionBy(*keys).orderBy(F.desc("_band"), "line", F.when(spans, 0).otherwise(1), F.when(spans, 0).otherwise(column * turn), F.col("x") * turn, "item")
+    return rows.withColumn("place", (F.row_number().over(w) - 1).cast("long")).withColumn("column", F.when(spans, -1).otherwise(column)).drop("line", "_band", "split", "_rtl")
+
+
 def line_texts(lined: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line, text, x, y, width) of lines(): pieces from left to right, a blank where the gap is over 0.15 of the height."""
     w = Window.partitionBy(*keys, "line").orderBy("x", "item")
@@ -106,14 +124,6 @@ def same_letters(pieces: DataFrame, texts: DataFrame, doc: str) -> DataFrame:
     return both.select(doc, (F.col("a").eqNullSafe(F.col("b"))).alias("kept"))
 
 
-def touching(boxes: DataFrame, keys: list[str], margin: float = 8) -> DataFrame:
-    """Pairs (keys, a, b) of boxes(keys, id, x0, y0, x1, y1) of a page that meet within the margin."""
-    a = boxes.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    b = boxes.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    meet = f"a_id < b_id and a_x0 - {margin} <= b_x1 and b_x0 - {margin} <= a_x1 and a_y0 - {margin} <= b_y1 and b_y0 - {margin} <= a_y1"
-    return a.join(b, keys).where(meet).select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-
 def structure_roles(pieces: DataFrame, roles: DataFrame, keys: list[str]) -> DataFrame:
     """pieces with the role of their mark; marks with several roles have none."""
     one = roles.groupBy(*keys).agg(F.min("role").alias("role"), F.max("role").alias("_r")).where("role = _r").drop("_r")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.operators import boxes as B
 from strandline.operators import layout as L
 from strandline.plans.registry import expressions, register
 from strandline.sources.tables import table
@@ -29,14 +30,21 @@ s AS (SELECT m.doc, m.page, count(*) FILTER (a.x < split) AS l, count(*) FILTER
 c AS (SELECT m.doc, m.page, CASE WHEN n >= 6 AND g > 595 * 0.22 AND least(l, r) >= 2 THEN 2 ELSE 1 END AS columns, CASE WHEN n >= 6 AND g > 595 * 0.22 AND least(l, r) >= 2 THEN split END AS split FROM m JOIN s ON s.doc = m.doc AND s.page = m.page)"""
 register("page_columns", f"WITH {_COLUMNS} SELECT * FROM c")(lambda spark, sf: L.columns(pieces(spark, sf), K))
 
-register("visual_lines", f"""
-WITH RECURSIVE {_SQL}, t AS (SELECT doc, page, greatest(1.5, median(height) * 0.45) AS tol FROM a GROUP BY 1, 2),
-r AS (SELECT a.doc, a.page, item, y, tol, row_number() OVER (PARTITION BY a.doc, a.page ORDER BY item) AS k FROM a JOIN t ON t.doc = a.doc AND t.page = a.page),
-g AS (SELECT doc, page, item, k, 0::BIGINT AS line, [y] AS ys, [1] AS ns FROM r WHERE k = 1
+_LINES = f"""vt AS (SELECT doc, page, greatest(1.5, median(height) * 0.45) AS tol FROM a GROUP BY 1, 2),
+vr AS (SELECT a.doc, a.page, item, y, tol, row_number() OVER (PARTITION BY a.doc, a.page ORDER BY item) AS k FROM a JOIN vt ON vt.doc = a.doc AND vt.page = a.page),
+vl AS (SELECT doc, page, item, k, 0::BIGINT AS line, [y] AS ys, [1] AS ns FROM vr WHERE k = 1
   UNION ALL SELECT doc, page, item, k, coalesce(hit, len(ys))::BIGINT, CASE WHEN hit IS NULL THEN ys || [y] ELSE list_transform(ys, lambda v, i: CASE WHEN i = hit + 1 THEN (v * ns[i] + y) / (ns[i] + 1) ELSE v END) END,
     CASE WHEN hit IS NULL THEN ns || [1] ELSE list_transform(ns, lambda v, i: CASE WHEN i = hit + 1 THEN v + 1 ELSE v END) END
-  FROM (SELECT r.*, g.ys, g.ns, list_position([abs(v - r.y) <= r.tol FOR v IN g.ys], true) - 1 AS hit FROM g JOIN r ON r.doc = g.doc AND r.page = g.page AND r.k = g.k + 1))
-SELECT doc, page, item, line FROM g""")(lambda spark, sf: L.lines(pieces(spark, sf), K).select("doc", "page", "item", "line"))
+  FROM (SELECT vr.*, vl.ys, vl.ns, list_position([abs(v - vr.y) <= vr.tol FOR v IN vl.ys], true) - 1 AS hit FROM vl JOIN vr ON vr.doc = vl.doc AND vr.page = vl.page AND vr.k = vl.k + 1))"""
+register("visual_lines", f"WITH RECURSIVE {_SQL}, {_LINES} SELECT doc, page, item, line FROM vl")(lambda spark, sf: L.lines(pieces(spark, sf), K).select("doc", "page", "item", "line"))
+register("reading_order", f"""
+WITH RECURSIVE {_COLUMNS}, {_LINES}, f AS (SELECT doc, page, 2 * count(*) FILTER (page % 5 = 0 AND item % 3 > 0) > count(*) AS rtl FROM a GROUP BY 1, 2),
+z AS (SELECT a.*, line, split, rtl, round(avg(y) OVER (PARTITION BY a.doc, a.page, line), 6) AS band, split IS NOT NULL AND (width * 6 > 416.5 OR x < split AND x + width * 6 > split) AS spans, (split IS NOT NULL AND x >= split)::INT AS col
+  FROM a JOIN vl USING (doc, page, item) LEFT JOIN c USING (doc, page) JOIN f USING (doc, page))
+SELECT doc, page, item, row_number() OVER (PARTITION BY doc, page ORDER BY band DESC, line, CASE WHEN spans THEN 0 ELSE 1 END, CASE WHEN spans THEN 0 WHEN rtl THEN -col ELSE col END, CASE WHEN rtl THEN -x ELSE x END, item) - 1 AS place,
+  CASE WHEN spans THEN -1 ELSE col END AS "column" FROM z""")(
+    lambda spark, sf: L.reading_order(pieces(spark, sf).withColumn("width", F.col("width") * 6).withColumn("rtl", F.expr("page % 5 = 0 AND item % 3 > 0")), K).select(*K, "item", "place", "column")
+)
 
 
 def _line_texts(spark, sf):
@@ -68,8 +76,33 @@ register("letters_kept", "SELECT doc_id, doc_id % 4 <> 3 AS kept FROM documents
 )
 register("touching_boxes", f"""
 WITH {_SQL} SELECT a.doc, a.page, a.item AS a, b.item AS b FROM a JOIN a b ON a.doc = b.doc AND a.page = b.page AND a.item < b.item AND a.x - 8 <= b.x + b.width AND b.x - 8 <= a.x + a.width AND a.y - 8 <= b.y + b.height AND b.y - 8 <= a.y + a.height""")(
-    lambda spark, sf: L.touching(pieces(spark, sf).select("doc", "page", F.col("item").alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1")), K)
+    lambda spark, sf: B.touching(pieces(spark, sf).select("doc", "page", F.col("item").alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1")), K)
 )
+
+
+def _boxes(spark, sf):
+    """Boxes of line items, several pages of an order's size thrown together so that chains form."""
+    least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")]
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
+    rows = rows.selectExpr("l_orderkey div 40 AS page", "l_orderkey * 10 + l_linenumber AS id", "l_partkey * 7 % 1900 AS x0", "l_suppkey * 13 % 1100 + l_linenumber * 97 AS y0", "l_quantity", "l_returnflag")
+    return rows.selectExpr("page", "id", "x0", "y0", "x0 + l_quantity * 4 AS x1", "y0 + l_quantity * 2 AS y1", "l_returnflag = 'N' AS repeated")
+
+
+def _merged_sql(rounds: int = 6) -> str:
+    """Rounds of: boxes that reach each other become one. What still met after the last round would show as a difference."""
+    sql = """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2),
+s0 AS (SELECT l_orderkey // 40 AS page, l_orderkey * 10 + l_linenumber AS id, (l_partkey * 7 % 1900)::DOUBLE AS x0, (l_suppkey * 13 % 1100 + l_linenumber * 97)::DOUBLE AS y0,
+  x0 + l_quantity * 4 AS x1, y0 + l_quantity * 2 AS y1, l_returnflag = 'N' AS repeated, 1 AS boxes FROM o)"""
+    for k in range(rounds):
+        sql += f""",
+m{k} AS MATERIALIZED (SELECT a.page, a.id AS a, b.id AS b FROM s{k} a JOIN s{k} b ON a.page = b.page AND a.x0 - 8 <= b.x1 AND b.x0 - 8 <= a.x1 AND a.y0 - 8 <= b.y1 AND b.y0 - 8 <= a.y1),
+r{k} AS (SELECT page, id, id AS root FROM s{k} UNION SELECT r.page, r.id, m.b FROM r{k} r JOIN m{k} m ON m.page = r.page AND m.a = r.root),
+s{k + 1} AS MATERIALIZED (SELECT s.page, root AS id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_and(repeated) AS repeated, sum(boxes)::BIGINT AS boxes
+  FROM s{k} s JOIN (SELECT page, id, min(root) AS root FROM r{k} GROUP BY 1, 2) g ON g.page = s.page AND g.id = s.id GROUP BY 1, 2)"""
+    return f"{sql}\nSELECT * FROM s{rounds}"
+
+
+register("merged_boxes", _merged_sql())(lambda spark, sf: B.merged(_boxes(spark, sf), ["page"]))
 register("structure_roles", """
 WITH r AS (SELECT l_orderkey, min(l_returnflag) AS role FROM lineitem GROUP BY 1 HAVING min(l_returnflag) = max(l_returnflag)) SELECT o_orderkey, role FROM orders LEFT JOIN r ON l_orderkey = o_orderkey""")(
     lambda spark, sf: L.structure_roles(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("role")), ["o_orderkey"])
