@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -158,10 +159,10 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> dict[str, np.ndarray]:
 #: White space by which a text is split before encoding; letters of a word that is kept with its ids, and words kept.
 BLANK, KEPT_CHARS, KEPT = re.compile("[ \t\r\n]+"), 64, 200_000
 #: The pattern of such a tokenizer, here without what its first alternatives are in plain words, and the words it is used for:
-#: ASCII and the composed letters of two Latin blocks, for which composing and lower case are the same everywhere.
+#: ASCII and the composed letters of two Latin blocks, for which composing, lower case and white space are the same everywhere.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
-PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u012f\u0131-\u017f]*")
+PLAIN = re.compile("[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u012f\u0131-\u017f]*")
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\t-\r 0-9{LATIN}]+")
 
 
@@ -191,38 +192,54 @@ def word_ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 def word_encoder(path: str):
-    """Function from a text to its ids, equal to the tokenizers library's, for a tokenizer that drops white space and whose tokens
-    don't reach over it.
+    """Function from a text to its ids (an array), equal to the tokenizers library's, for a tokenizer that drops white space
+    and whose tokens don't reach over it.
 
     Each distinct run without white space is encoded once: those of up to KEPT_CHARS letters are remembered, KEPT at a time.
     Plain words are merged by tiktoken from the file's ranks; all others are left to the tokenizers library."""
-    t, known = tokenizer(path), {}
-    ranks, merge, of = word_ranks(json.loads(t.to_str())), None, {}
+    t = tokenizer(path)
+    ranks, merge, ids = word_ranks(json.loads(t.to_str())), None, np.arange(t.get_vocab_size(), dtype="<u4")
+    code = {i: i for i in range(len(ids))}  # what is remembered for an id: a rank where there are ranks
     if ranks:
         import tiktoken
 
-        merge = tiktoken.Encoding(path, pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        merge = tiktoken.Encoding(path, pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         of = {ranks[raw]: i for raw, i in vocabulary(t.get_vocab()).items() if raw in ranks}
-
-    def one(word: str) -> list[int] | None:
-        if merge is None or len(word) > KEPT_CHARS or "<|" in word or not PLAIN.fullmatch(word):
-            return None
-        return [of[k] for p in PIECE.findall(word.lower()) for k in merge(p.encode() + b"\xff")]
-
-    def ids(text: str) -> list[int]:
-        words = BLANK.split(text)
-        if len(known) > KEPT:
-            known.clear()
-        found = {w: one(w) for w in {w for w in words if w not in known}}
-        rest = [w for w, i in found.items() if i is None]
-        found.update(zip(rest, (e.ids for e in t.encode_batch_fast(rest, add_special_tokens=False))))
-        known.update((w, i) for w, i in found.items() if len(w) <= KEPT_CHARS)
-        out: list[int] = []
-        for w in words:
-            out += known[w] if w in known else found[w]
-        return out
-
-    return ids
+        rest = sorted(set(range(len(ids))) - set(of.values()))
+        ids = np.array([*(of.get(k, 0) for k in range(len(ranks))), *rest], dtype="<u4")
+        code = {i: k for k, i in of.items()} | {i: len(ranks) + k for k, i in enumerate(rest)}
+
+    def library(words: list[str]) -> list[bytes]:
+        return [array("I", [code[i] for i in e.ids]).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+    class Known(dict):
+        """What plain words are merged to, each when it first comes up."""
+
+        def __missing__(self, word: str) -> bytes:
+            if len(word) > KEPT_CHARS:
+                return library([word])[0]
+            parts = [word] if word.isalpha() else PIECE.findall(word)
+            self[word] = found = array("I", [k for p in parts for k in merge(p.encode() + b"\xff")]).tobytes()
+            return found
+
+    plain, other = Known(), {}
+
+    def encode(text: str) -> np.ndarray:
+        if merge is not None and "<|" not in text and PLAIN.fullmatch(text):
+            if len(plain) > KEPT:
+                plain.clear()
+            found = map(plain.__getitem__, text.lower().split())
+        else:
+            words = BLANK.split(text)
+            if len(other) > KEPT:
+                other.clear()
+            new = list(set(words).difference(other))
+            got = dict(zip(new, library(new)))
+            other.update((w, i) for w, i in got.items() if len(w) <= KEPT_CHARS)
+            found = (got[w] if w in got else other[w] for w in words)
+        return ids[np.frombuffer(b"".join(found), dtype=np.uint32)]
+
+    return encode
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
@@ -233,7 +250,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1) -> Dat
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                a = np.array([*encode(text), end_id], dtype="<u4")
+                a = np.append(encode(text), np.uint32(end_id)).astype("<u4", copy=False)
                 for s in range(0, len(a), size):
                     p = a[s : s + size]
                     for col, v in zip(out, (doc, s // size, s, len(p), zlib.crc32(p.tobytes()))):
