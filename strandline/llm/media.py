@@ -88,7 +88,7 @@ def dictionary(docs: DataFrame, sample: int = SAMPLE) -> bytes:
 
     n = docs.count()
     share = int(min(1.0, sample / max(n, 1)) * 1_000_000)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select(F.substring("text", 1, 8192)).limit(2 * sample)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("text"), "text").select(F.substring("text", 1, 8192)).limit(2 * sample)
     parts = [r[0].encode() for r in some.collect() if r[0]]
     if len(parts) < 200:
         return b""
@@ -104,6 +104,8 @@ def _coder(kind, words: bytes, **more):
     return kind(dict_data=zstandard.ZstdCompressionDict(words), **more) if words else kind(**more)
 
 
+#: Folder of the dictionary within a store; readers of tables pass over such names.
+WORDS = "_dictionary"
 LISTED = "file binary, n_bytes long, media_sha256 binary, header binary, chunks array<struct<seq:int,digest:binary,data:binary>>"
 CHUNKS = pa.list_(pa.struct([("seq", pa.int32()), ("digest", pa.binary()), ("data", pa.binary())]))
 
@@ -148,7 +150,8 @@ def store(docs: DataFrame, path: str, words: bytes = b"") -> None:
 
     First pass: digests only, to find those used more than once and their owners. Second pass: the
     compressed files go to the partition of their digest, one copy of each is kept, and chunks owned
-    elsewhere lose their bytes; only (file, seq) of these are joined, so bytes move once.
+    elsewhere lose their bytes; only (file, seq) of these are joined, so bytes move once. The dictionary that
+    chunks are compressed with lies beside them, so that whoever knows the path can read the store.
     """
     uses = listed(docs, words, False).select("file", F.explode("chunks").alias("c")).select("file", "c.seq", "c.digest")
     first = F.min(F.struct("file", "seq"))
@@ -160,14 +163,16 @@ def store(docs: DataFrame, path: str, words: bytes = b"") -> None:
     shared = owner.select(F.col("owner.file").alias("file"), F.col("owner.seq").alias("seq")).groupBy("file").agg(F.collect_set("seq").alias("gives"))
     files = files.join(lent, "file", "left").join(shared, "file", "left")
     files.select("file", "n_bytes", "media_sha256", "header", kept.alias("chunks"), "gives").write.parquet(path)
+    docs.sparkSession.createDataFrame([(bytearray(words),)], "words binary").coalesce(1).write.parquet(f"{path}/{WORDS}")
 
 
-def read_back(spark, path: str, words: bytes = b"") -> DataFrame:
+def read_back(spark, path: str) -> DataFrame:
     """FEATURES of every stored file, computed from its chunks; a wrong or missing digest fails the job.
 
     Files that own all their chunks are read in place. Lists with chunks owned by other files are joined
     with these by digest and put together by file.
     """
+    words = bytes(spark.read.schema("words binary").parquet(f"{path}/{WORDS}").first()[0])
     files = spark.read.schema(LISTED + ", gives array<int>").parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +222,6 @@ def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, words = path or shared_path(spark, "media"), dictionary(docs)
     store(docs, path, words)
     file = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), file.alias("file")).join(read_back(spark, path, words), "file")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), file.alias("file")).join(read_back(spark, path), "file")
     plain = [F.lower(F.hex(c)).alias(c) if c.endswith("sha256") else F.col(c) for c in (x.split()[0] for x in FEATURES.split(", ")[1:])]
     return found.select("doc_id", *plain, F.lower(F.hex("file")).alias("text_sha256"))
