@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm.common import connected_components, materialize, partitions
 
@@ -50,14 +51,14 @@ def rotation(vectors: DataFrame) -> np.ndarray | None:
 
 
 def grid(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """vectors with `lead` (leading coordinates) and `cell` (their grid cells)."""
+    """vectors with `lead` (leading coordinates) and `cell` (their grid cells); ones of another width than the axes keep their own first coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lead, cell = [], []
             for v in b.column("embedding").to_pylist():
                 x = _unit([v])[0]
-                y = x @ axes if len(x) == len(axes) else np.zeros(axes.shape[1])
+                y = x @ axes if len(x) == len(axes) else np.pad(x[: axes.shape[1]], (0, max(0, axes.shape[1] - len(x))))
                 lead.append(y)
                 cell.append(np.floor(y / eps).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -65,7 +66,7 @@ def grid(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             )
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"rep long, label int, copies long, embedding {kind}, width int, lead array<double>, cell array<int>")
+    return vectors.mapInArrow(run, f"rep long, label string, copies long, embedding {kind}, width int, lead array<double>, cell array<int>")
 
 
 def join_blocks(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, cosine: float, eps: float, same: bool, out) -> None:
@@ -110,10 +111,20 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def label_key(table: DataFrame) -> Column:
+    """Labels of any type as text that is equal where they are; the two zeros of a floating type are one."""
+    kind, c = table.schema["label"].dataType, F.col("label")
+    if isinstance(kind, T.FractionalType):
+        return F.when(c == 0, F.lit("0")).otherwise(c.cast("string"))
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    return c.cast("string") if isinstance(kind, T.AtomicType) else F.when(c.isNotNull(), F.to_json(F.struct(c)))
+
+
 def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of embeddings(vec_id, embedding, label).
 
-    Vectors are compared if labels are equal and not null. Null or zero vectors, ones with null or
+    Vectors are compared if labels (of any type) are equal and not null. Null or zero vectors, ones with null or
     non-finite components, and ones of different length link with nothing. Equal vectors of a label
     are one class with a multiplicity and link to each other. Each row is a vector of its own: rows that
     repeat a vec_id link only if their vectors do, and rows without one take part with kept = false.
@@ -124,7 +135,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     parts = partitions(spark)
     # floats travel as floats; all arithmetic is in double precision
     kind = "array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), label_key(table).alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     rows = rows.withColumn("ok", F.coalesce(F.expr(f"label is not null and {valid('embedding')}"), F.lit(False)))
     good = rows.where("ok").drop("ok")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
