@@ -1,7 +1,7 @@
 """Toxicity categories by a chain of linear classifiers.
 
-A document is its set of words and word prefixes, and of those that are dense in it. The features that
-favour toxic documents most are selected from counts over the labelled rows. Logistic models are fitted
+A document is its set of words and word prefixes, and of those that are dense in it. All features that
+favour toxic documents are selected from counts over the labelled rows. Logistic models are fitted
 one category after another; each later one also sees the probabilities of the earlier ones, which for
 training are predicted out of fold, so that it learns from values as good as it meets later. The last
 category decides.
@@ -25,8 +25,6 @@ from strandline.llm.common import carried
 
 #: Labelled documents the chain is fitted on, at most (about; chosen by a hash of doc_id).
 SAMPLE = 8_000
-#: Selected features, at most.
-FEATURES = 768
 #: Toxic documents that must hold a feature, and how much likelier it must be in them.
 SUPPORT, LIFT = 3, 6.0
 FOLDS = 5
@@ -62,11 +60,13 @@ def all_features(text: str | None) -> set[str]:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents; the hash filter holds on both sides before the join."""
+    """(doc_id, text, toxic) of labelled documents; the hash filter holds on both sides before the join. Of rows that repeat an id
+    the smallest text counts, so that no id takes up the sample."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)
     some = docs.select("doc_id", "text").where("text is not null").where(part)
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text"))
     return some.join(known.where(part), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
 
 
@@ -92,7 +92,7 @@ def select_features(rows: DataFrame) -> list[str]:
         return []
     bad = F.col("bad") / total["bad"]
     good = (F.col("good") + 0.5) / (total["good"] + 1)
-    top = useful.where("f <> ''").where(bad > LIFT * good).orderBy(F.desc((bad - good) * F.log(bad / good)), "f").limit(FEATURES)
+    top = useful.where("f <> ''").where(bad > LIFT * good).orderBy(F.desc((bad - good) * F.log(bad / good)), "f")
     names = [r["f"] for r in top.select("f").collect()]
     useful.unpersist()
     return names
@@ -207,9 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             found = [sorted(r.hits(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32())), b.column("toxic")], ["doc_id", "hits", "toxic"])
 
-    got = rows.mapInArrow(hits, "doc_id long, hits array<int>, toxic int").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(hits, "doc_id long, hits array<int>, toxic int").toArrow()
+    found = sorted(zip(got.column("doc_id").to_pylist(), got.column("hits").to_pylist(), got.column("toxic").to_pylist()))
     # equal documents of a fold are one row with a count: most have no feature at all
-    equal = Counter((tuple(at), t > 0, i % FOLDS) for i, (at, t) in enumerate(zip(got.column("hits").to_pylist(), got.column("toxic").to_pylist())))
+    equal = Counter((tuple(at), t > 0, i % FOLDS) for i, (_, at, t) in enumerate(found))
     x, toxic, n = np.zeros((len(equal), len(names))), np.zeros(len(equal)), np.array(list(equal.values()), dtype=float)
     for i, (at, t, _) in enumerate(equal):
         x[i, list(at)], toxic[i] = 1, t
