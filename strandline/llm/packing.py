@@ -174,7 +174,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataF
 
     Null and empty texts are the end id alone; very long texts are cut into windows. Repeated rows are packed as often as they occur, ties
     in length are ordered by doc_id and start. Other columns are ignored. An empty table gives no
-    rows. The partition of a piece is a hash of its id and start, so lost tasks are recomputed alike.
+    rows. The partition of a piece is a hash of its id, start and place in the input, so lost tasks are recomputed alike and no id fills one.
     """
     parts = partitions(docs.sparkSession)
 
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataF
             columns = [*b.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "sequence_id", "offset"])
 
-    dealt = pieces(docs, path, size, end_id).repartition(parts, F.xxhash64("doc_id", "start"))
-    dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "start")
+    # rows without an id and rows that repeat one are told apart by the place where they were read
+    dealt = pieces(docs, path, size, end_id).withColumn("salt", F.xxhash64("doc_id", "start", F.monotonically_increasing_id()))
+    dealt = dealt.repartition(parts, "salt").sortWithinPartitions(F.desc("length"), "doc_id", "start", "salt").drop("salt")
     return dealt.mapInArrow(fill, PACKED)
