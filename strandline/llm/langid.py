@@ -24,6 +24,8 @@ from strandline.llm.minhash import mix
 BITS = 16
 #: Labelled documents the model is fitted on, at most (about; chosen by hash).
 SAMPLE = 20_000
+#: Languages that are learned, at most: their tables are what the driver and every worker hold.
+LANGS = 200
 #: Log-probability units that a change of language between two words costs.
 SWITCH = 6.0
 #: Letters of a word that count as evidence at most, so that one long string can't outvote its surroundings.
@@ -163,13 +165,16 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on text and non-null lang of docs; at most about `sample` documents, taken by hash."""
+    """Fits on text and non-null lang of docs; at most about `sample` documents, taken by hash, and the LANGS most frequent languages of these."""
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     n = docs.where("lang is not null").count()
     if n > sample:
         share = int(sample / n * 1_000_000)
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
+    some = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
+    known = known.where(F.col("lang").isin(some))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
