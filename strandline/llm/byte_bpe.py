@@ -24,6 +24,8 @@ from strandline.llm.common import texts_of
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Encoded pieces that a worker remembers before it starts anew.
 MEMO = 400_000
+#: Letters of the longest piece that is remembered, and pairs of tokens.
+MEMO_CHARS, PAIRS = 64, 4_000_000
 _CODERS: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -141,10 +143,18 @@ class ByteBpe:
         memo, found = self.memo, self.pattern.findall(text)
         if len(memo) > MEMO:
             memo.clear()
+        if len(self.compatible) > PAIRS:
+            self.compatible.clear()
+        long = []
         for piece in found:
             if piece not in memo:
                 memo[piece] = self.encode_piece(piece.encode().decode("latin-1"))
-        return list(chain.from_iterable(map(memo.__getitem__, found)))
+                if len(piece) > MEMO_CHARS:
+                    long.append(piece)
+        ids = list(chain.from_iterable(map(memo.__getitem__, found)))
+        for piece in long:
+            del memo[piece]
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
