@@ -370,5 +370,6 @@ def survivors(docs: DataFrame, percent: int = 75) -> DataFrame:
     # copies of a row meet where the texts are dealt by these keys, and the kept ones are joined there: texts move once
     word = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     keys = F.md5("text").alias("_mark"), id_of(F.col("doc_id").cast("long")).alias("_id")
-    rows = docs.where(word).groupBy(*keys).agg(*[F.first(c).alias(c) for c in docs.columns])
-    return rows.join(keep, ["_mark", "_id"]).select(*docs.columns).unionByName(docs.where(~word))
+    # a row travels as one value, so that its columns may have any name
+    rows = docs.where(word).select(*keys, F.struct(*docs.columns).alias("_row")).groupBy("_mark", "_id").agg(F.first("_row").alias("_row"))
+    return rows.join(keep, ["_mark", "_id"]).select("_row.*").unionByName(docs.where(~word))
