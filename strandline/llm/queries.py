@@ -22,9 +22,9 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts with a cache of its own, so that a run counts all texts and leaves their counts in it."""
+    """Starts with a cache of its own, so that a run counts all texts; the second lot of rows looks up what the first has stored."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, cache=shared_path(spark, "token-cache"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, cache=shared_path(spark, "token-cache"), batches=2)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,7 @@ def test_media_store(spark, tmp_path):
     assert len(files) == 4 and len(chunks) > len(digests) and sorted(held) == sorted(digests)  # each chunk once, some shared
     bad = spark.read.parquet(f"file://{path}").withColumn("chunks", F.transform("chunks", lambda c: c.withField("digest", F.unhex(F.sha2(c["digest"], 256)))))
     bad.write.parquet(f"file://{tmp_path}/bad")
+    spark.read.parquet(f"file://{path}/{media.WORDS}").write.parquet(f"file://{tmp_path}/bad/{media.WORDS}")
     with pytest.raises(Exception, match="damaged"):
         media.read_back(spark, f"file://{tmp_path}/bad").count()
 
@@ -138,3 +139,66 @@ def test_toxicity_on_a_very_long_text(spark):
     chain = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
     df = spark.createDataFrame([(1, "plain words here " * 200_000), (2, "idiot " * 200_000), (3, None), (4, "")], "doc_id long, text string")
     assert {r.doc_id: r.toxic for r in toxicity.classify(df, chain).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "a", 1, "x"), (2, "one two three four five six", "b", 2, "y"), (3, None, "c", 3, "z")]
+    kept = minhash.survivors(spark.createDataFrame(rows, "doc_id long, text string, _mark string, _id int, _row string"))
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]] and kept.columns == ["doc_id", "text", "_mark", "_id", "_row"]
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "long", "array<int>"])
+def test_labels_of_any_type(spark, kind):
+    values = {"double": (0.2, 0.7, -0.0, 0.0), "string": ("a", "b", "c", "c"), "long": (1 << 40, (1 << 40) + 1, 7, 7), "array<int>": ([1], [2], [], [])}[kind]
+    rows = [(i, v, [1.0, 0.0, 0.0]) for i, v in enumerate(values)] + [(9, None, [1.0, 0.0, 0.0])]
+    got = embedding.near_vectors(spark.createDataFrame(rows, f"vec_id long, label {kind}, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (0, 0), 1: (0, 1), 2: (1, 2), 3: (1, 2), 9: (0, 9)}
+
+
+def test_vectors_of_several_widths(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, 1, r.normal(size=8 if i < 40 else 3 if i < 60 else 12).tolist()) for i in range(80)]
+    rows += [(100 + i, 1, [2 * x for x in v]) for i, _, v in rows[::9]]
+    got = {x.vec_id: x.component_id for x in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    for k, (i, _, _) in enumerate(rows[:80:9]):
+        assert got[100 + i] == got[i]
+
+
+def test_store_is_read_by_its_path_alone(spark, tmp_path):
+    texts = [f"{_long(k, 40)} word word word {k % 7}" for k in range(400)]
+    docs, path = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/dictionary-store"
+    words = media.dictionary(docs)
+    assert words and words == media.dictionary(docs.repartition(7))
+    media.store(docs, path, words)
+    got = {bytes(r.file): bytes(r.payload_sha256) for r in media.read_back(spark, path).collect()}
+    assert got == {hashlib.sha256(t.encode()).digest(): hashlib.sha256(media.payload_of(t.encode())).digest() for t in texts}
+
+
+def test_cache_by_version_in_lots_and_compacted(spark, tmp_path):
+    docs, cache = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)] + [(None, "text 1"), (None, None)], "doc_id long, text string"), f"file://{tmp_path}/lots"
+    plain = sorted(map(tuple, token_counts.token_counts(docs, JSON).collect()), key=repr)
+    assert sorted(map(tuple, token_counts.token_counts(docs, JSON, cache=cache, batches=3).collect()), key=repr) == plain
+    assert spark.read.parquet(cache).count() == 6  # later lots found what earlier ones had stored
+    other = P.path("word_bpe_49k.json")
+    token_counts.token_counts(docs, other, cache=cache).collect()
+    token_counts.compact(spark, cache, JSON)
+    assert len(spark.read.parquet(cache).where(f"version = '{token_counts.version_of(JSON)}'").inputFiles()) <= 4
+    assert sorted(map(tuple, token_counts.token_counts(docs, JSON, cache=cache).collect()), key=repr) == plain and spark.read.parquet(cache).count() == 12
+
+
+def test_one_id_does_not_fill_a_partition(spark):
+    docs = spark.createDataFrame([(None, f"word {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, JSON).collect()
+    assert len(rows) == 400 and len({r.sequence_id >> 40 for r in rows}) == 4
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.sample_rows(docs, labels, 100).collect())) == [(1, "text 0", 1), (2, "other", 0)]
+
+
+def test_languages_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 2)
+    docs = spark.createDataFrame([(i, "alpha beta gamma", "aa") for i in range(9)] + [(20 + i, "delta epsilon zeta", "bb") for i in range(8)] + [(40, "junk", "cc")], "doc_id long, text string, lang string")
+    assert langid.fit(docs).langs == ["aa", "bb"]
