@@ -117,17 +117,19 @@ def answer_text(c: Column) -> Column:
     return F.regexp_replace(F.when(F.trim(F.regexp_replace(inside, r"\s", "")) != "", inside).otherwise(c), r"^[\s`]+|[\s`]+$", "")
 
 
-MARKER = r"\[\[JG_SEG_\d{6}\]\]"
+def marker(name: str = "SEG") -> str:
+    """Pattern of the numbered marks that stand before a text's segments."""
+    return rf"\[\[{name}_\d{{6}}\]\]"
 
 
-def markers_kept(a: Column, b: Column) -> Column:
+def markers_kept(a: Column, b: Column, name: str = "SEG") -> Column:
     """Whether an answer has its source's markers in the same order; those of a source without any don't count."""
-    m = lambda c: F.coalesce(F.regexp_extract_all(c, F.lit(MARKER), F.lit(0)), F.array().cast("array<string>"))
+    m = lambda c: F.coalesce(F.regexp_extract_all(c, F.lit(marker(name)), F.lit(0)), F.array().cast("array<string>"))
     return (F.size(m(a)) == 0) | (m(a) == m(b))
 
 
-def drop_markers(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"\s*{MARKER}\s*", " "))
+def drop_markers(c: Column, name: str = "SEG") -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"\s*{marker(name)}\s*", " "))
 
 
 def spanish_norms(c: Column) -> Column:

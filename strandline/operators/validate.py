@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,17 +140,32 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9áéíóúüñ]+"), F.lit(0)), none())
 
 
+def distance(a: list, b: list) -> int:
+    """Edit distance of two sequences by bit-parallel columns: a column of differences is two integers of len(a) bits."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rises, falls = (down | ~(level | up)) & full, up & level
+        score += bool(rises & top) - bool(falls & top)
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = (falls | ~(level | rises)) & full, rises & level
+    return score
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words, a row of the table at a time."""
-    start = F.sequence(F.lit(0), F.size(b))
+    """Edit distance of two arrays of words; null where either is."""
 
-    def step(row: Column, x: Column) -> Column:
-        # cells left to right: the last one so far is the left neighbour
-        first = F.array(F.get(row, F.lit(0)) + 1)
-        cell = lambda done, i: F.array_append(done, F.least(F.element_at(done, -1) + 1, F.get(row, i) + 1, F.get(row, i - 1) + F.when(F.get(b, i - 1) == x, 0).otherwise(1)))
-        return F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>")), first, cell)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
 
-    return F.element_at(F.aggregate(a, start, step), -1)
+    return F.pandas_udf(run, "int")(a, b)
 
 
 def word_error_rate(reference: Column, heard: Column) -> Column:

@@ -53,8 +53,8 @@ register("answer_text", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_or
         "o_orderkey", N.plain_emphasis(N.answer_text(F.col("t"))).alias("said"))
 )
 register("segment_markers", "SELECT o_orderkey, o_orderkey % 3 <> 1 AS kept, CASE o_orderkey % 3 WHEN 0 THEN 'uno dos' WHEN 1 THEN 'uno' ELSE 'solo' END AS plain FROM orders")(
-    lambda spark, sf: table(spark, sf, "orders").selectExpr("o_orderkey", "IF(o_orderkey % 3 = 2, 'alone', '[[JG_SEG_000001]] one [[JG_SEG_000002]] two') AS a",
-        "CASE o_orderkey % 3 WHEN 0 THEN '[[JG_SEG_000001]] uno [[JG_SEG_000002]] dos' WHEN 1 THEN '[[JG_SEG_000002]] uno' ELSE '[[JG_SEG_000000]] solo' END AS b")
+    lambda spark, sf: table(spark, sf, "orders").selectExpr("o_orderkey", "IF(o_orderkey % 3 = 2, 'alone', '[[SEG_000001]] one [[SEG_000002]] two') AS a",
+        "CASE o_orderkey % 3 WHEN 0 THEN '[[SEG_000001]] uno [[SEG_000002]] dos' WHEN 1 THEN '[[SEG_000002]] uno' ELSE '[[SEG_000000]] solo' END AS b")
     .select("o_orderkey", N.markers_kept(F.col("a"), F.col("b")).alias("kept"), N.drop_markers(F.col("b")).alias("plain"))
 )
 register("spanish_norms", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Lunes: el martes, este y solo en enero.' ELSE 'Aquella vez en el español' END AS said FROM orders")(
