@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.operators import merge, segments
 from strandline.plans import registry
-from strandline.plans import chunk_queries, context_queries, language_queries, layout_queries, naming_queries, normal_queries, placement_queries, reader_queries, record_queries, scalar_queries, stream_queries, text_queries, time_queries  # noqa: F401
+from strandline.plans import chunk_queries, composition_queries, context_queries, language_queries, layout_queries, naming_queries, normal_queries, placement_queries, reader_queries, record_queries, scalar_queries, stream_queries, text_queries, time_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
