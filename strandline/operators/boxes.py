@@ -27,14 +27,14 @@ def touching(boxes: DataFrame, keys: list[str], margin: float = 8) -> DataFrame:
     def cells(df: DataFrame) -> DataFrame:
         edge = F.pow(F.lit(2.0), F.col("level"))
         for axis, low, high in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
-            df = df.withColumn(axis, F.explode(F.sequence(F.floor(F.col(low) / edge), F.greatest(F.floor(F.col(low) / edge), F.floor((F.col(high) + margin) / edge)))))
+            df = df.withColumn(axis, F.explode(F.sequence(F.floor(F.col(low) / edge), F.greatest(F.floor(F.col(low) / edge), F.floor((F.col(high) + (margin + 1e-6)) / edge)))))
         return df
 
     b = cells(rows).select(*keys, "level", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("id", *SIDES)])
     a = rows.join(levels, keys).withColumnRenamed("level", "own").withColumn("level", F.explode(F.filter("levels", lambda k: k >= F.col("own"))))
     a = cells(a.drop("levels"))
     meet = a.join(b, [*keys, "level", "cx", "cy"]).where((F.col("own") < F.ceil(F.log2(F.greatest(F.lit(2.0 ** least), F.col("b_x1") - F.col("b_x0") + margin, F.col("b_y1") - F.col("b_y0") + margin, F.lit(1.0))))) | (F.col("id") < F.col("b_id")))
-    meet = meet.where(f"x0 <= b_x1 + {margin} and b_x0 <= x1 + {margin} and y0 <= b_y1 + {margin} and b_y0 <= y1 + {margin}")
+    meet = meet.where(f"x0 - {margin} <= b_x1 and b_x0 - {margin} <= x1 and y0 - {margin} <= b_y1 and b_y0 - {margin} <= y1")
     # a pair counts in one cell only: that of the low corner of what they share
     edge = F.pow(F.lit(2.0), F.col("level"))
     meet = meet.where((F.col("cx") == F.floor(F.greatest("x0", "b_x0") / edge)) & (F.col("cy") == F.floor(F.greatest("y0", "b_y0") / edge)))

@@ -45,7 +45,8 @@ def find_quotes(rows: DataFrame, text: str = "text") -> DataFrame:
     half = F.substring(q, F.lit(1), F.greatest(F.lit(HALF), F.floor(F.length("_q") / 2).cast("int")))
     same = F.substring("_t", F.col("_at") + 1, F.length("_q")) == F.col("_q")
     rows = rows.withColumn("_c", F.when(F.length("_t") == 0, mark(F.lit(0), "empty")).when(F.length("_q") < SHORTEST, mark("_at", "index")).when(same, mark("_at", "same")))
-    after = F.when(F.length("_b") >= SHORTEST, F.least(hit(F.col("_b")) + F.length("_b"), size))
+    end = F.when(F.length("_b") >= SHORTEST, hit(F.col("_b")) + F.length("_b"))
+    after = F.when(end <= size, end).when(end > size, size)  # least() would take the size for a missing end
     for name, c in (("quote", hit(q)), ("half", hit(half)), ("before", after)):
         rows = once(rows, "_n", F.coalesce("_c", F.when(F.col("_c").isNull() & c.isNotNull(), mark(c, name)))).drop("_c").withColumnRenamed("_n", "_c")
     c = F.coalesce("_c", mark("_at", "kept"))

@@ -33,8 +33,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, k FROM documents, range(7) r(
 q AS (SELECT doc_id, k, {_CHANGED} AS text, spot, CASE WHEN k = 6 THEN substr(t, spot + 1, 5) ELSE substr(t, spot + 1, 40) END AS quote, substr(t, greatest(spot - 24, 0) + 1, least(spot, 24)) AS before FROM e),
 f AS (SELECT *, translate(lower(text), '{ACCENTED}', '{PLAIN}') AS f, reverse(translate(lower(text), '{ACCENTED}', '{PLAIN}')) AS b, translate(lower(quote), '{ACCENTED}', '{PLAIN}') AS fq, translate(lower(before), '{ACCENTED}', '{PLAIN}') AS fb FROM q),
 h AS (SELECT *, substr(fq, 1, greatest(10, length(fq) // 2)) AS fh FROM f),
-c AS (SELECT doc_id, k, spot, text, quote, {_near('fq')} AS p1, {_near('fh')} AS p2, CASE WHEN length(fb) >= 8 THEN least({_near('fb')} + length(fb), length(text)) END AS p3 FROM h)
-SELECT doc_id, k::INT AS k, (CASE WHEN text = '' THEN 0 WHEN length(quote) < 8 THEN least(spot, length(text)) WHEN substr(text, spot + 1, length(quote)) = quote THEN spot ELSE coalesce(p1, p2, p3, least(spot, length(text))) END)::BIGINT AS place,
+c AS (SELECT doc_id, k, spot, text, quote, {_near('fq')} AS p1, {_near('fh')} AS p2, CASE WHEN length(fb) >= 8 THEN {_near('fb')} + length(fb) END AS p3 FROM h)
+SELECT doc_id, k::INT AS k, (CASE WHEN text = '' THEN 0 WHEN length(quote) < 8 THEN least(spot, length(text)) WHEN substr(text, spot + 1, length(quote)) = quote THEN spot ELSE coalesce(p1, p2, CASE WHEN p3 > length(text) THEN length(text) ELSE p3 END, least(spot, length(text))) END)::BIGINT AS place,
   CASE WHEN text = '' THEN 'empty' WHEN length(quote) < 8 THEN 'index' WHEN substr(text, spot + 1, length(quote)) = quote THEN 'same' WHEN p1 IS NOT NULL THEN 'quote' WHEN p2 IS NOT NULL THEN 'half' WHEN p3 IS NOT NULL THEN 'before' ELSE 'kept' END AS found FROM c""")(_find_quotes)
 
 
