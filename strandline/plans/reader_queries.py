@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.plans.registry import register
+from strandline.sources import contents as X
 from strandline.sources import playlists as P
 from strandline.sources import subtitles as S
 from strandline.sources.tables import table
@@ -124,3 +125,43 @@ SELECT o_orderkey, CASE WHEN source IS NOT NULL THEN NULL WHEN k = 0 THEN 'unava
   CASE source WHEN 'first' THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'en' END WHEN 'second' THEN 'es' END AS lang,
   CASE source WHEN 'first' THEN round(o_totalprice / 1000, 3) WHEN 'second' THEN 12.5 END AS seconds, CASE source WHEN 'first' THEN 'https://pbs.twimg.com/p.jpg' WHEN 'second' THEN '' END AS cover,
   CASE WHEN source IS NOT NULL THEN 'https://video.twimg.com/l.m3u8' END AS hls, CASE WHEN source IS NOT NULL THEN 1280 END AS best, CASE WHEN source IS NOT NULL THEN 640 END AS saving FROM s""")(_posts)
+
+
+def _encoded(spark, sf):
+    """Every document in five charsets; a letter outside a charset becomes a question mark first."""
+    d = table(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.col("text").alias("t"))
+    latin = F.concat(F.regexp_replace("t", "[^\x01-\x7e\u00a0-\u00ff]", "?"), F.lit("é."))
+    mark = lambda h: F.unhex(F.lit(h))
+    forms = [F.encode("t", "UTF-8"), F.concat(mark("EFBBBF"), F.encode("t", "UTF-8")), F.concat(mark("FFFE"), F.encode("t", "UTF-16LE")), F.concat(mark("FEFF"), F.encode("t", "UTF-16BE")), F.encode(latin, "ISO-8859-1")]
+    return d.select("doc_id", F.posexplode(F.array(*forms)).alias("form", "bytes"))
+
+
+register("decoded_files", r"""
+SELECT doc_id, f::INT AS form, md5(CASE WHEN f = 4 THEN regexp_replace(text, '[^\x01-\x7e\x{a0}-\x{ff}]', '?', 'g') || 'é.' ELSE text END) AS text FROM documents, range(5) r(f) WHERE length(text) > 0""")(
+    lambda spark, sf: _encoded(spark, sf).select("doc_id", "form", F.md5(X.decoded(F.col("bytes"))).alias("text"))
+)
+
+
+def _answers(spark, sf):
+    """Conversations as provider answers: a text, timed pieces by offset or by start and end, plain pieces, or an object."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("p"))
+    turn = lambda x: x["turn"].cast("string")
+    forms = [
+        F.to_json(F.struct(F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("c"))),
+        F.to_json(F.struct(F.transform("p", lambda x: F.struct(x["t"].alias("text"), (x["turn"] * 1500).alias("offset"), F.when(x["turn"] != 2, x["turn"] * 250 + 500).alias("duration"))).alias("c"))),
+        F.to_json(F.struct(F.transform("p", lambda x: F.struct(x["t"].alias("text"), F.when(x["turn"] == 1, "soon").otherwise(turn(x)).alias("start"), (x["turn"] + 2).alias("end"))).alias("c"))),
+        F.to_json(F.struct(F.transform("p", lambda x: x["t"]).alias("c"))), F.lit('{"c": {"text": "no list"}}'),
+    ]
+    return c.select("conv_id", F.posexplode(F.array(*forms)).alias("form", "json")).select("conv_id", "form", F.try_variant_get(F.try_parse_json("json"), "$.c", "variant").alias("content"))
+
+
+_FLAT = "trim(replace(coalesce(text, ''), chr(10), ' '))"
+register("content_texts", f"""
+WITH c AS (SELECT conv_id, trim(string_agg(coalesce(text, ''), ' ' ORDER BY turn)) AS a, coalesce(trim(string_agg({_FLAT}, ' ' ORDER BY turn) FILTER ({_FLAT} <> '')), '') AS b, coalesce(trim(string_agg(trim(text), ' ' ORDER BY turn) FILTER (trim(coalesce(text, '')) <> '')), '') AS d FROM conversations GROUP BY 1)
+SELECT conv_id, f::INT AS form, md5(CASE f WHEN 0 THEN a WHEN 3 THEN d WHEN 4 THEN '' ELSE b END) AS text FROM c, range(5) r(f)""")(lambda spark, sf: _answers(spark, sf).select("conv_id", "form", F.md5(X.content_text(F.col("content"))).alias("text")))
+register("content_segments", f"""
+WITH t AS (SELECT conv_id, turn, {_FLAT} AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1 AS place FROM conversations)
+SELECT conv_id, 1 AS form, place::INT AS place, turn * 1.5::DOUBLE AS start, CASE turn WHEN 2 THEN 0 ELSE (turn * 250 + 500) / 1000 END AS duration, round(turn * 1.5::DOUBLE + CASE turn WHEN 2 THEN 0 ELSE (turn * 250 + 500) / 1000 END, 3) AS "end", md5(text) AS text FROM t WHERE text <> ''
+UNION ALL SELECT conv_id, 2, place::INT, turn::DOUBLE, 2.0::DOUBLE, turn + 2.0::DOUBLE, md5(text) FROM t WHERE text <> '' AND turn <> 1""")(
+    lambda spark, sf: X.content_segments(_answers(spark, sf).withColumn("k", F.struct("conv_id", "form")), "k", "content").select("k.conv_id", "k.form", "place", "start", "duration", "end", F.md5("text").alias("text"))
+)
