@@ -94,3 +94,31 @@ SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'hola a todos ' || o_ordersta
     lambda spark, sf: orders(spark, sf, """CASE o_orderkey % 3 WHEN 0 THEN concat('0:14\nhola a todos ', o_orderstatus, '\n0:14\nhola a todos ', o_orderstatus, '\n[1:02:03] - y más') WHEN 1 THEN concat(' at 3:15 only ', o_orderstatus)
       ELSE 'WEBVTT\nKind: captions\n\n1\n00:00:01.000 --> 00:00:02.000\n<c>uno</c>\ndos' END""").select("o_orderkey", N.raw_transcript(F.col("t")).alias("said"))
 )
+
+
+def _line_kinds(spark, sf):
+    """Every line of every document alone, and with the line after it; page numbers are asked of its first word, acronyms of its first two."""
+    d = table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("l")).where("size(l) > 0")
+    d = d.select("doc_id", F.posexplode(F.transform("l", lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("b")))).alias("place", "x")).select("doc_id", "place", "x.*")
+    w = F.split("a", " +")
+    one, two = F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+    return d.select("doc_id", "place", N.block_kind(F.col("a")).alias("alone"), N.block_kind(F.concat("a", F.lit("\n"), "b", F.lit("."))).alias("both"), N.hyphen_kind(F.concat("a", F.lit("- ")), F.col("b")).alias("hyphen"), N.page_number(one).alias("page"), N.split_acronym(one, two).alias("acronym"))
+
+
+def _block_sql(c: str, lines: str) -> str:
+    every = lambda p: f"len({lines}) > 1 AND len(list_filter({lines}, lambda x: NOT regexp_matches(x, '{p}'))) = 0"
+    cells = f"[len(list_filter(string_split(x, '|'), lambda y: trim(y) <> '')) for x in {lines}]"
+    return f"""CASE WHEN regexp_matches({c}, '^#{{1,3}}\\s+\\S') THEN 'h3' WHEN {every('^[-•●]\\s+\\S')} THEN 'ul' WHEN {every('^\\d+\\.\\s+\\S')} THEN 'ol' WHEN starts_with({c}, '>') OR {every('^["“«]')} THEN 'blockquote'
+    WHEN regexp_matches({c}, '\\|.*\\|') AND len({lines}) > 1 AND list_min({cells}) = list_max({cells}) THEN 'table'
+    WHEN length({c}) <= 90 AND NOT regexp_matches({c}, '[.!?…:]$') AND ({c} = upper({c}) AND regexp_matches({c}, '[A-ZÁÉÍÓÚÑ]{{2,}}') OR regexp_matches({c}, '^(?i)(capítulo|capitulo|parte|prólogo|prologo|epílogo|anexo|introducción)')) THEN 'h3' ELSE 'p' END"""
+
+
+_HYPHENS = "[-­‐‑‒]"
+register("line_kinds", f"""
+WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+r AS (SELECT doc_id, i AS place, l[i + 1] AS a, coalesce(l[i + 2], '') AS b FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM l)),
+s AS (SELECT *, a || chr(10) || b || '.' AS ab, [trim(a)] AS la, [trim(x) for x in string_split(a || chr(10) || b || '.', chr(10)) if trim(x) <> ''] AS lb, a || '-' AS e, regexp_replace(b, '^\\s+', '') AS f, regexp_split_to_array(a, ' +') AS w FROM r),
+p AS (SELECT *, coalesce(w[1], '') AS w1, coalesce(w[2], '') AS w2, lower(regexp_replace(trim(coalesce(w[1], '')), '^[\\s\\-–—·•|*\\[\\](){{}}<>."'']+|[\\s\\-–—·•|*\\[\\](){{}}<>."'']+$', '', 'g')) AS core FROM s)
+SELECT doc_id, place::INT AS place, {_block_sql("a", "la")} AS alone, {_block_sql("ab", "lb")} AS both, CASE WHEN regexp_matches(f, '^[—–]') THEN 'dialogue' WHEN regexp_matches(f, '^\\p{{Lu}}') OR regexp_matches(e, '(?i)\\d+(st|nd|rd|th){_HYPHENS}$') THEN 'compound' ELSE 'split' END AS hyphen,
+  trim(w1) <> '' AND length(trim(w1)) <= 24 AND core <> '' AND (regexp_matches(core, '^\\d{{1,3}}$') OR regexp_matches(core, '{N.ROMAN_PAGE}') AND core NOT IN ({", ".join(repr(w) for w in N.NO_PAGE)})) AS page,
+  regexp_matches(w1, '^\\p{{Lu}}{{1,4}}$') AND regexp_matches(w2, '^\\p{{Lu}}{{1,4}}$') AND length(w1) + length(w2) <= 8 AS acronym FROM p""")(_line_kinds)
