@@ -183,3 +183,35 @@ def best_matches(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     best = rated.where(F.col("score") >= MATCH).groupBy("book").agg(F.max(F.struct("score", (-F.col("offer")).alias("o"))).alias("m"))
     best = best.select(F.col("book").alias("id"), (-F.col("m.o")).alias("match"), F.col("m.score").alias("score"))
     return wanted.join(best, "id", "left")
+
+
+def compacted(c: Column) -> Column:
+    """struct(text, places): the letters a-z and digits of a text, accents and case apart, and where each stood. Null is empty."""
+    letters = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x, i: F.struct(F.substring(fold(x), 1, 1).alias("l"), i.alias("i")))
+    kept = F.filter(letters, lambda x: x["l"].rlike("^[a-z0-9]$"))
+    return F.struct(F.array_join(F.transform(kept, lambda x: x["l"]), "").alias("text"), F.transform(kept, lambda x: x["i"]).alias("places"))
+
+
+#: Letters of a page's start that are looked for, at first and then, and the fewest.
+START, FIRST, FEWEST = 40, 14, 6
+
+
+def place_pages(texts: DataFrame, key: str, text: str = "text", marks: str = "marks") -> DataFrame:
+    """(key, page, place): where the pages of texts(key, text, marks array<struct<page, sample>>) start in a text that was changed.
+
+    Pages are looked for by the first letters of their samples, always behind the one before; one that isn't found, or
+    whose sample has fewer than FEWEST letters, is left out. A text and its marks are one row."""
+    rows = once(texts.select(key, text, marks), "_c", compacted(F.col(text)))
+    page = texts.schema[marks].dataType.elementType["page"].dataType.simpleString()
+    starts = F.transform(marks, lambda m: F.struct(m["page"].alias("page"), F.substring(compacted(m["sample"])["text"], 1, START).alias("n")))
+    rows = once(rows, "_m", starts)
+    seek = lambda needle, s: F.call_function("locate", needle, F.col("_c.text"), s["at"] + 1)
+
+    def step(s: Column, m: Column) -> Column:
+        whole, size = seek(m["n"], s), F.length(m["n"])
+        hit = F.when(size < FEWEST, 0).when((whole == 0) & (size > FIRST), seek(F.substring(m["n"], 1, FIRST), s)).otherwise(whole)
+        found = F.struct((hit - 1 + F.greatest(F.lit(1), F.floor(size / 2).cast("int"))).alias("at"), F.array_append(s["out"], F.struct(m["page"].alias("page"), F.get("_c.places", hit - 1).alias("place"))).alias("out"))
+        return F.when(hit > 0, found).otherwise(s)
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<page:{page},place:int>>").alias("out"))
+    return rows.select(key, F.explode(F.aggregate("_m", begin, step)["out"]).alias("x")).select(key, "x.page", "x.place")

@@ -60,3 +60,35 @@ SELECT a.id, -m.o AS match, m.s AS score FROM a LEFT JOIN b USING (id)""")(
         table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("source").alias("author"), F.col("lang").alias("cover")),
     ).select("id", "match", "score")
 )
+
+register("compact_places", f"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS cs FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(cs, lambda c, i: {{'l': translate(lower(c), '{ACCENTED}', '{PLAIN}')[1], 'i': i - 1}}), lambda x: regexp_matches(x.l, '^[a-z0-9]$')) AS k FROM l)
+SELECT doc_id, md5(array_to_string([x.l for x in k], '')) AS letters, md5(array_to_string([x.i for x in k], ',')) AS places, len(k)::INT AS n FROM k""")(
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", P.compacted(F.col("text")).alias("c")).select(
+        "doc_id", F.md5("c.text").alias("letters"), F.md5(F.array_join(F.transform("c.places", lambda i: i.cast("string")), ",")).alias("places"), F.size("c.places").alias("n"))
+)
+
+
+def _pages(spark, sf):
+    """Documents as pages of 400 characters, in a text whose commas moved and whose every third page lost some letters at its start."""
+    d = table(spark, sf, "documents").where("length(text) > 0").withColumn("n", F.expr("CAST((length(text) - 1) DIV 400 AS INT)"))
+    page = lambda i: F.substr("text", i * 400 + 1, F.lit(400))
+    pages = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i % 3 == 2, F.overlay(page(i), F.lit("#"), F.lit(20), F.lit(3))).otherwise(page(i)))
+    marks = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(i.alias("page"), F.substring(page(i), 1, 60).alias("sample")))
+    d = d.select("doc_id", F.replace(F.array_join(pages, ""), F.lit(","), F.lit(" , ")).alias("changed"), marks.alias("marks"))
+    return d.withColumnRenamed("changed", "text")
+
+
+register("placed_pages", f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, (length(text) - 1) // 400 AS n FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, i AS page, substr(text, 400 * i + 1, 400) AS s FROM (SELECT doc_id, text, unnest(range(n + 1)) AS i FROM d)),
+t AS (SELECT doc_id, replace(string_agg(CASE WHEN page % 3 = 2 AND length(s) >= 19 THEN substr(s, 1, 19) || '#' || substr(s, 23) WHEN page % 3 = 2 THEN s || '#' ELSE s END, '' ORDER BY page), ',', ' , ') AS t FROM p GROUP BY 1),
+k AS MATERIALIZED (SELECT doc_id, list_filter(list_transform(string_split(t, ''), lambda c, i: {{'l': translate(lower(c), '{ACCENTED}', '{PLAIN}')[1], 'i': i - 1}}), lambda x: regexp_matches(x.l, '^[a-z0-9]$')) AS k FROM t),
+c AS MATERIALIZED (SELECT doc_id, array_to_string([x.l for x in k], '') AS c FROM k),
+m AS MATERIALIZED (SELECT doc_id, page, substr(regexp_replace(translate(lower(substr(s, 1, 60)), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]', '', 'g'), 1, 40) AS n FROM p),
+r AS (SELECT doc_id, -1::BIGINT AS page, 0::BIGINT AS at_, NULL::BIGINT AS hit FROM c
+  UNION ALL SELECT doc_id, page, CASE WHEN h > 0 THEN h - 1 + greatest(1, length(n) // 2) ELSE at_ END, CASE WHEN h > 0 THEN h - 1 END FROM (
+    SELECT r.doc_id, m.page, r.at_, n, CASE WHEN length(n) < 6 THEN 0 WHEN strpos(substr(c, r.at_ + 1), n) > 0 THEN strpos(substr(c, r.at_ + 1), n) + r.at_ WHEN length(n) > 14 AND strpos(substr(c, r.at_ + 1), substr(n, 1, 14)) > 0 THEN strpos(substr(c, r.at_ + 1), substr(n, 1, 14)) + r.at_ ELSE 0 END AS h
+    FROM r JOIN m ON m.doc_id = r.doc_id AND m.page = r.page + 1 JOIN c ON c.doc_id = r.doc_id))
+SELECT r.doc_id, page::INT AS page, k[hit + 1].i::INT AS place FROM r JOIN k USING (doc_id) WHERE hit IS NOT NULL""")(lambda spark, sf: P.place_pages(_pages(spark, sf), "doc_id"))
