@@ -48,17 +48,19 @@ def merged(boxes: DataFrame, keys: list[str], margin: float = 8, max_rounds: int
     the neighbour, or itself, that comes first in a random order, so a chain of boxes halves in about each round."""
     flag = F.col("repeated") if "repeated" in boxes.columns else F.lit(False)
     now = settled(boxes.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in SIDES], F.lit(1).cast("long").alias("boxes"), F.coalesce(flag, F.lit(False)).alias("repeated")))
-    done = None
+    done = []
     for k in range(max_rounds):
         pairs = settled(touching(now, keys, margin))
         if pairs.isEmpty():
-            return now if done is None else done.unionByName(now)
-        still = now.join(pairs.select(*keys).distinct(), keys, "left_anti")  # pages that are finished
-        done = still if done is None else done.unionByName(still)
+            for part in done:
+                now = now.unionByName(part)
+            return now
+        open_ = pairs.select(*keys).distinct()
+        done.append(now.join(open_, keys, "left_anti"))  # pages that are finished
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("to"))
         both = pairs.select(*keys, F.col("a").alias("id"), rank("b").alias("r")).unionByName(pairs.select(*keys, F.col("b").alias("id"), rank("a").alias("r")))
         to = both.groupBy(*keys, "id").agg(F.min("r").alias("r"))
-        joined = now.join(pairs.select(*keys).distinct(), keys, "left_semi").join(to, [*keys, "id"], "left").withColumn("to", F.least(rank("id"), F.coalesce("r", rank("id")))["to"])
+        joined = now.join(open_, keys, "left_semi").join(to, [*keys, "id"], "left").withColumn("to", F.least(rank("id"), F.coalesce("r", rank("id")))["to"])
         now = joined.groupBy(*keys, "to").agg(F.min("id").alias("id"), *[(F.min if c.endswith("0") else F.max)(c).alias(c) for c in SIDES], F.sum("boxes").alias("boxes"), F.min("repeated").alias("repeated")).drop("to")
-        now, done = settled(now), settled(done)
+        now = settled(now)
     raise RuntimeError(f"boxes still meet after {max_rounds} rounds")

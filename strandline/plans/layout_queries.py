@@ -84,15 +84,15 @@ def _boxes(spark, sf):
     """Boxes of line items, several pages of an order's size thrown together so that chains form."""
     least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")]
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
-    rows = rows.selectExpr("l_orderkey div 40 AS page", "l_orderkey * 10 + l_linenumber AS id", "l_partkey * 7 % 1900 AS x0", "l_suppkey * 13 % 1100 * 5 + l_linenumber * 97 AS y0", "l_quantity", "l_returnflag")
-    return rows.selectExpr("page", "id", "x0", "y0", "x0 + l_quantity * 3 AS x1", "y0 + l_quantity * 3 AS y1", "l_returnflag = 'N' AS repeated")
+    rows = rows.selectExpr("l_orderkey div 40 AS page", "l_orderkey * 10 + l_linenumber AS id", "(l_partkey * 7 + l_orderkey * 131 + l_linenumber * 457) % 1900 AS x0", "l_orderkey % 40 * 120 + l_linenumber * 4 AS y0", "l_quantity", "l_returnflag")
+    return rows.selectExpr("page", "id", "x0", "y0", "x0 + l_quantity * 3 AS x1", "y0 + l_quantity * 2 AS y1", "l_returnflag = 'N' AS repeated")
 
 
-def _merged_sql(rounds: int = 6) -> str:
+def _merged_sql(rounds: int = 16) -> str:
     """Rounds of: boxes that reach each other become one. What still met after the last round would show as a difference."""
     sql = """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2),
-s0 AS (SELECT l_orderkey // 40 AS page, l_orderkey * 10 + l_linenumber AS id, (l_partkey * 7 % 1900)::DOUBLE AS x0, (l_suppkey * 13 % 1100 * 5 + l_linenumber * 97)::DOUBLE AS y0,
-  x0 + l_quantity * 3 AS x1, y0 + l_quantity * 3 AS y1, l_returnflag = 'N' AS repeated, 1 AS boxes FROM o)"""
+s0 AS (SELECT l_orderkey // 40 AS page, l_orderkey * 10 + l_linenumber AS id, ((l_partkey * 7 + l_orderkey * 131 + l_linenumber * 457) % 1900)::DOUBLE AS x0, (l_orderkey % 40 * 120 + l_linenumber * 4)::DOUBLE AS y0,
+  x0 + l_quantity * 3 AS x1, y0 + l_quantity * 2 AS y1, l_returnflag = 'N' AS repeated, 1 AS boxes FROM o)"""
     for k in range(rounds):
         sql += f""",
 m{k} AS MATERIALIZED (SELECT a.page, a.id AS a, b.id AS b FROM s{k} a JOIN s{k} b ON a.page = b.page AND a.x0 - 8 <= b.x1 AND b.x0 - 8 <= a.x1 AND a.y0 - 8 <= b.y1 AND b.y0 - 8 <= a.y1),
