@@ -165,3 +165,9 @@ SELECT conv_id, 1 AS form, place::INT AS place, turn * 1.5::DOUBLE AS start, CAS
 UNION ALL SELECT conv_id, 2, place::INT, turn::DOUBLE, 2.0::DOUBLE, turn + 2.0::DOUBLE, md5(text) FROM t WHERE text <> '' AND turn <> 1""")(
     lambda spark, sf: X.content_segments(_answers(spark, sf).withColumn("k", F.struct("conv_id", "form")), "k", "content").select("k.conv_id", "k.form", "place", "start", "duration", "end", F.md5("text").alias("text"))
 )
+
+register("fetched_texts", r"""
+WITH t AS (SELECT conv_id, trim(regexp_replace(string_agg(coalesce(text, ''), ' ' ORDER BY turn), '\s+', ' ', 'g')) AS t FROM conversations GROUP BY 1)
+SELECT conv_id, length(t) > 1500 AS kept, md5(CASE WHEN length(t) > 1500 THEN t END) AS text FROM t""")(
+    lambda spark, sf: S.joined_text(table(spark, sf, "conversations"), "conv_id", "turn", "text", 1500).select("conv_id", F.col("text").isNotNull().alias("kept"), F.md5("text").alias("text"))
+)

@@ -104,3 +104,9 @@ def pick_track(tracks: DataFrame, key: str, wanted: str) -> DataFrame:
     order = F.when(F.col("lang") == wanted, 0).when(F.col("lang") == "es", 1).when(F.col("lang") == "en", 2).otherwise(3)
     best = F.min(F.struct(F.col("generated").cast("int").alias("g"), order.alias("o"), F.col("lang").alias("lang")))
     return tracks.where("n_chars > 20").groupBy(key).agg(best.alias("b")).select(key, "b.lang", (F.col("b.g") == 1).alias("generated"))
+
+
+def joined_text(rows: DataFrame, key: str, place: str, text: str, least: int = 20) -> DataFrame:
+    """(key, text) of the texts of a key in the order of their place, blanks between them squeezed; null if it isn't longer than `least`."""
+    t = squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, F.coalesce(text, F.lit("")).alias("_t")))), lambda x: x["_t"]), " "))
+    return rows.groupBy(key).agg(t.alias("text")).withColumn("text", F.when(F.length("text") > least, F.col("text")))
