@@ -69,6 +69,12 @@ def test_rate_limit_counts_only_what_it_allows(spark):
     assert [r.allowed for r in got] == [True, True, False, False, True, True, True]
 
 
+def test_groups_by_what_ends_a_text(spark):
+    rows = [(k, i, 4.0 * i, 4.0 * i + 3.5, t, False) for k, ts in {1: ["One.\n", "two"], 2: ["One.", "two"], 3: ["One. ", "two"], 4: ["a", "b.\n", "c"]}.items() for i, t in enumerate(ts)]
+    got = S.timed_groups(spark.createDataFrame(rows, "k int, place int, start double, end double, text string, change boolean"), "k")
+    assert [(x.k, x.group) for x in got.orderBy("k", "place").collect()] == [(1, 0), (1, 0), (2, 0), (2, 1), (3, 0), (3, 0), (4, 0), (4, 0), (4, 1)]
+
+
 def test_slices_equal_plain_windows(spark):
     import random
 
