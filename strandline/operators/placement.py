@@ -38,13 +38,14 @@ def find_quotes(rows: DataFrame, text: str = "text") -> DataFrame:
     size = F.length(F.coalesce(F.col(text), F.lit("")))
     rows = once(rows, "_t", F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumns({"_at": F.greatest(F.lit(0), F.least(F.floor(F.coalesce("at", F.lit(0))).cast("int"), size)), "_q": F.coalesce("quote", F.lit("")), "_b": fold(F.coalesce("before", F.lit("")))})
-    rows = once(once(rows, "_f", fold(F.col("_t"))), "_r", F.reverse("_f"))
     hit = lambda needle: nearest(F.col("_f"), F.col("_r"), needle, F.col("_at"))
     mark = lambda p, k: F.struct((F.col(p) if isinstance(p, str) else p).cast("int").alias("p"), F.lit(k).alias("k"))
     q = fold(F.col("_q"))
     half = F.substring(q, F.lit(1), F.greatest(F.lit(HALF), F.floor(F.length("_q") / 2).cast("int")))
     same = F.substring("_t", F.col("_at") + 1, F.length("_q")) == F.col("_q")
     rows = rows.withColumn("_c", F.when(F.length("_t") == 0, mark(F.lit(0), "empty")).when(F.length("_q") < SHORTEST, mark("_at", "index")).when(same, mark("_at", "same")))
+    # only texts that are searched are folded and turned round
+    rows = once(once(rows, "_f", F.when(F.col("_c").isNull(), fold(F.col("_t")))), "_r", F.reverse("_f"))
     end = F.when(F.length("_b") >= SHORTEST, hit(F.col("_b")) + F.length("_b"))
     after = F.when(end <= size, end).when(end > size, size)  # least() would take the size for a missing end
     for name, c in (("quote", hit(q)), ("half", hit(half)), ("before", after)):
@@ -185,11 +186,21 @@ def best_matches(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     return wanted.join(best, "id", "left")
 
 
+def compact_text(c: Column) -> Column:
+    """The letters a-z and digits of a text, accents and case apart. Null is empty."""
+    return F.regexp_replace(_folded(c), "[^a-z0-9]+", "")
+
+
+def _folded(c: Column) -> Column:
+    """fold() with one character for each of the text: İ alone gives two in lower case, of which the first counts."""
+    return fold(F.replace(F.coalesce(c, F.lit("")), F.lit("İ"), F.lit("i")))
+
+
 def compacted(c: Column) -> Column:
     """struct(text, places): the letters a-z and digits of a text, accents and case apart, and where each stood. Null is empty."""
-    letters = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x, i: F.struct(F.substring(fold(x), 1, 1).alias("l"), i.alias("i")))
-    kept = F.filter(letters, lambda x: x["l"].rlike("^[a-z0-9]$"))
-    return F.struct(F.array_join(F.transform(kept, lambda x: x["l"]), "").alias("text"), F.transform(kept, lambda x: x["i"]).alias("places"))
+    letter = lambda x: x.between("a", "z") | x.between("0", "9")  # noqa: E731 - one character each, compared by bytes
+    places = F.array_compact(F.transform(F.split(_folded(c), ""), lambda x, i: F.when(letter(x), i)))
+    return F.struct(compact_text(c).alias("text"), places.alias("places"))
 
 
 #: Letters of a page's start that are looked for, at first and then, and the fewest.
@@ -203,7 +214,7 @@ def place_pages(texts: DataFrame, key: str, text: str = "text", marks: str = "ma
     whose sample has fewer than FEWEST letters, is left out. A text and its marks are one row."""
     rows = once(texts.select(key, text, marks), "_c", compacted(F.col(text)))
     page = texts.schema[marks].dataType.elementType["page"].dataType.simpleString()
-    starts = F.transform(marks, lambda m: F.struct(m["page"].alias("page"), F.substring(compacted(m["sample"])["text"], 1, START).alias("n")))
+    starts = F.transform(marks, lambda m: F.struct(m["page"].alias("page"), F.substring(compact_text(m["sample"]), 1, START).alias("n")))
     rows = once(rows, "_m", starts)
     seek = lambda needle, s: F.call_function("locate", needle, F.col("_c.text"), s["at"] + 1)
 

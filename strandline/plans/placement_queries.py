@@ -66,7 +66,7 @@ WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS cs FROM docume
 k AS (SELECT doc_id, list_filter(list_transform(cs, lambda c, i: {{'l': translate(lower(c), '{ACCENTED}', '{PLAIN}')[1], 'i': i - 1}}), lambda x: regexp_matches(x.l, '^[a-z0-9]$')) AS k FROM l)
 SELECT doc_id, md5(array_to_string([x.l for x in k], '')) AS letters, md5(array_to_string([x.i for x in k], ',')) AS places, len(k)::INT AS n FROM k""")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", P.compacted(F.col("text")).alias("c")).select(
-        "doc_id", F.md5("c.text").alias("letters"), F.md5(F.array_join(F.transform("c.places", lambda i: i.cast("string")), ",")).alias("places"), F.size("c.places").alias("n"))
+        "doc_id", F.md5("c.text").alias("letters"), F.md5(F.array_join(F.col("c.places").cast("array<string>"), ",")).alias("places"), F.size("c.places").alias("n"))
 )
 
 

@@ -158,6 +158,22 @@ def test_little_is_moved_to_decide_and_compose(spark):
     assert sum(n for k, n in moved().items() if k not in before) < 9 * sum(len(r[3]) for r in rows)
 
 
+def test_compact_letters_one_for_each_character(spark):
+    texts = ["İzmir K5 ñandú Ünİ", "aİİb\u0130", "ß\U0001d44e x", "", None, "\u212aelvin ſ ΑΣ z{`9:/"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", placement.compacted(F.col("t")).alias("c"))
+    assert "rlike" not in df._jdf.queryExecution().analyzed().toString().lower()  # no pattern is tried for each character
+    for r in df.collect():
+        t = texts[r.k] or ""
+        at = [(i, x) for i, x in ((i, placement.compact(c)[:1]) for i, c in enumerate(t)) if x and c_kept(t[i])]
+        assert (r.c.text, list(r.c.places)) == ("".join(x for _, x in at), [i for i, _ in at])
+
+
+def c_kept(c):
+    """Whether fold() makes a plain letter of a character."""
+    low = c.lower()[:1].translate(str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"))
+    return low.isascii() and low.isalnum()
+
+
 def test_answers_about_boundaries(spark):
     rows = spark.createDataFrame([(1, 0, "bos", "ton"), (1, 1, "a", "b")], "doc int, place int, left string, right string")
     answers = [(0, 1, 0, "join", None, None, None), (1, 1, 0, "space", None, None, None), (2, 1, 7, "join", None, None, None), (3, 1, None, "join", None, None, None), (4, 1, 1, "glue", None, None, None)]
