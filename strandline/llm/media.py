@@ -153,7 +153,7 @@ def store(docs: DataFrame, path: str, words: bytes = b"") -> None:
     elsewhere lose their bytes; only (file, seq) of these are joined, so bytes move once. The dictionary that
     chunks are compressed with lies beside them, so that whoever knows the path can read the store.
     """
-    uses = listed(docs, words, False).select("file", F.explode("chunks").alias("c")).select("file", "c.seq", "c.digest")
+    uses = listed(docs, words, False).select("file", F.explode("chunks").alias("c")).select("file", "c.seq", "c.digest").repartition("digest")  # dealt once, for the owners and for those that borrow
     first = F.min(F.struct("file", "seq"))
     owner = uses.groupBy("digest").agg(first.alias("owner"), F.max(F.struct("file", "seq")).alias("last")).where("owner <> last")
     lent = uses.join(owner, "digest").where("file <> owner.file or seq <> owner.seq")
