@@ -156,7 +156,11 @@ MATCH, AUTHOR, AUTHOR_SHARE = 0.6, 0.25, 0.5
 
 def title_words(c: Column) -> Column:
     """Folded words of two letters or more that aren't in TITLE_STOP."""
-    return F.filter(F.split(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]", " "), " +"), lambda w: (F.length(w) > 1) & ~w.isin(TITLE_STOP))
+    return F.filter(_title_split(c), lambda w: (F.length(w) > 1) & ~w.isin(TITLE_STOP))
+
+
+def _title_split(c: Column) -> Column:
+    return F.split(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
 
 
 def best_matches(wanted: DataFrame, offered: DataFrame) -> DataFrame:
@@ -164,21 +168,16 @@ def best_matches(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     the largest share of the wanted title's words, an agreeing author adding to it; the smallest id of equals. Null
     below MATCH, without words or without an offer that has a cover.
 
-    Set similarity by a prefix filter: of a title's words, ordered from the rarest among the offers, only those are
-    joined without which the share cannot be reached, so the most frequent words of a title join nothing."""
+    Titles of offers are read once. Only their words that some wanted title has are dealt, by offer, so that the words
+    a pair shares are counted where they are; authors are asked of pairs only that an author could still lift to MATCH."""
     asked = wanted.select(F.col("id").alias("book"), title_words(F.col("title")).alias("words"), title_words(F.col("author")).alias("by")).withColumn("n", F.size("words"))
-    offers = offered.where("cover is not null").select(F.col("id").alias("offer"), F.array_distinct(title_words(F.col("title"))).alias("words"), title_words(F.col("author")).alias("offer_by"))
-    terms = offers.select("offer", F.explode("words").alias("word"))
-    spread_ = terms.groupBy("word").agg(F.count("*").alias("df"))
+    offers = offered.where("cover is not null").select(F.col("id").alias("offer"), "title", F.col("author").alias("offer_by"))
     own = asked.select("book", "n", F.explode("words").alias("word")).groupBy("book", "n", "word").agg(F.count("*").alias("times"))
-    # a word that no offer has is needed by nothing; what the rarer ones can't do without stays
-    ranked = own.join(spread_, "word", "left").groupBy("book", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "times"))).alias("ws"))
-    need = F.ceil(F.lit(MATCH - AUTHOR) * F.col("n") - 1e-9)
-    behind = lambda i: F.aggregate(F.slice("ws", i + 1, F.size("ws")), F.lit(0).cast("long"), lambda s, w: s + w["times"])
-    prefix = ranked.select("book", F.explode(F.filter("ws", lambda w, i: (behind(i) >= need) & (w["df"] > 0))).alias("w")).select("book", "w.word")
-    pairs = prefix.join(terms, "word").select("book", "offer").distinct()
-    shared = pairs.join(own, "book").join(terms, ["offer", "word"]).groupBy("book", "offer", "n").agg(F.sum("times").alias("hits"))
-    rated = shared.join(asked.select("book", "by"), "book").join(offers.select("offer", "offer_by"), "offer")
+    # words that no title asks for, stop words among them, fall out of the join
+    terms = offers.select("offer", F.explode(F.array_distinct(_title_split(F.col("title")))).alias("word")).join(own.select("word").distinct(), "word", "left_semi")
+    shared = terms.repartition("offer").join(own, "word").groupBy("offer", "book", "n").agg(F.sum("times").alias("hits"))
+    shared = shared.where(F.col("hits") / F.col("n") + AUTHOR >= MATCH)
+    rated = shared.join(offers.select("offer", title_words(F.col("offer_by")).alias("offer_by")), "offer").join(asked.select("book", "by"), "book")
     agree = (F.size("by") > 0) & (F.size(F.filter("by", lambda w: F.array_contains("offer_by", w))) >= AUTHOR_SHARE * F.size("by"))
     rated = rated.withColumn("score", F.col("hits") / F.col("n") + F.when(agree, AUTHOR).otherwise(0.0))
     best = rated.where(F.col("score") >= MATCH).groupBy("book").agg(F.max(F.struct("score", (-F.col("offer")).alias("o"))).alias("m"))
