@@ -43,6 +43,28 @@ def test_boxes_touch_and_merge_as_plainly(spark):
     assert boxes.merged(df.limit(0), ["page"]).count() == 0
 
 
+def test_boxes_of_large_pages_merge_in_chunks_and_rounds(spark):
+    r = random.Random(2)
+    rows = [(page, page * 100 + i, x := r.uniform(0, 600.0), y := r.uniform(0, 900.0), x + r.uniform(0, 40), y + r.uniform(0, 40)) for page in range(4) for i in range(60 - page * 18)]
+    rows += [(7, 700 + i, 0.0, 29.0 * i, 4.0, 29.0 * i + 21.5) for i in range(30)]  # a chain over several chunks
+    df = spark.createDataFrame(rows, "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    for chunk in (1, 7, 29, 512):
+        got = boxes.merged(df, ["page"], chunk=chunk).collect()
+        for page in {x[0] for x in rows}:
+            assert sorted(tuple(g)[1:6] for g in got if g.page == page) == plain_merge([x[1:] for x in rows if x[0] == page])
+        assert sum(g.boxes for g in got) == len(rows)
+    blank = boxes.merged(spark.createDataFrame([*rows[:60], (0, 99, None, 1.0, 2.0, 3.0)], df.schema), ["page"]).where("x0 is null").collect()
+    assert [(b.id, b.x1, b.boxes) for b in blank] == [(99, 2.0, 1)]
+
+
+def test_little_is_moved_to_merge_boxes(spark):
+    """Bytes shuffled for a box of pages of 100: 822 when all pages went through all rounds, 76 since."""
+    r = random.Random(5)
+    rows = [(page, page * 100 + i, x := r.uniform(0, 1200.0), y := r.uniform(0, 3000.0), x + r.uniform(0, 120), y + r.uniform(0, 90)) for page in range(60) for i in range(100)]
+    df = spark.createDataFrame(rows, "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    assert shuffled(spark, lambda: boxes.merged(df, ["page"])) < 200 * len(rows)
+
+
 def test_reading_order_of_a_page(spark):
     kind = "page int, item int, str string, x double, y double, width double, height double, rtl boolean"
     spread = [(1, k, "w", float(x), float(y), 120.0, 10.0, False) for k, (x, y) in enumerate([(320, 500), (50, 500), (50, 488), (320, 488), (320, 460), (50, 460)])]
@@ -122,8 +144,8 @@ def test_best_matches_against_all_pairs(spark):
     assert {x.id: (x.match, x.score and round(x.score, 9)) for x in got.collect()} == {i: best(t, by) for i, t, by in wanted}
 
 
-def shuffled(spark, df):
-    """Bytes that a run of df shuffles."""
+def shuffled(spark, make):
+    """Bytes that making a table and a run of it shuffle."""
     store = spark.sparkContext._jsc.sc().statusStore()
 
     def written():
@@ -133,7 +155,7 @@ def shuffled(spark, df):
         return total
 
     before = written()
-    df.write.format("noop").mode("overwrite").save()
+    make().write.format("noop").mode("overwrite").save()
     return written() - before
 
 
@@ -143,8 +165,8 @@ def test_little_is_moved_to_match_titles(spark):
     words = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(800)]
     wanted = [(i, " ".join(words[(i * 13 + j) % 800] for j in range(20)), "ana") for i in range(10)]
     offered = [(i, " ".join(r.choices(words, k=300)), "bo", "c") for i in range(400)]
-    df = placement.best_matches(spark.createDataFrame(wanted, "id int, title string, author string"), spark.createDataFrame(offered, "id int, title string, author string, cover string"))
-    assert shuffled(spark, df) < 1.5 * sum(len(x[1]) for x in offered)
+    wanted, offers = spark.createDataFrame(wanted, "id int, title string, author string"), spark.createDataFrame(offered, "id int, title string, author string, cover string")
+    assert shuffled(spark, lambda: placement.best_matches(wanted, offers)) < 1.5 * sum(len(x[1]) for x in offered)
 
 
 def test_boundaries_of_known_words(spark):
