@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.text import once
+
 #: Patterns of numbers, links, addresses and technical terms; length ratios by kind of change.
-NUMBER = r"(?<![\p{L}\p{N}_])[+-]?\d[\d.,]*\s?%?(?![\p{L}\p{N}_])"
+NUMBER = r"(?=[+\-\d])(?<![\p{L}\p{N}_])[+-]?\d[\d.,]*\s?%?(?![\p{L}\p{N}_])"
 LINK = r"(?i)https?://[^\s<>\"]+|www\.[^\s<>\"]+"
 MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
-TERM = r"(?<![\p{L}\p{N}_])(?:[A-ZÁÉÍÓÚÑ]{2,}[A-ZÁÉÍÓÚÑ0-9.-]*|[A-Za-zÁÉÍÓÚÑáéíóúñ]+(?:\.[A-Za-z0-9]+)+|[A-Za-zÁÉÍÓÚÑáéíóúñ]+[A-Z][A-Za-z0-9]*)(?![\p{L}\p{N}_])"
+TERM = r"(?=[A-Za-zÁÉÍÓÚÑáéíóúñ])(?<![\p{L}\p{N}_])(?:[A-ZÁÉÍÓÚÑ]{2,}[A-ZÁÉÍÓÚÑ0-9.-]*|[A-Za-zÁÉÍÓÚÑáéíóúñ]+(?:\.[A-Za-z0-9]+)+|[A-Za-zÁÉÍÓÚÑáéíóúñ]+[A-Z][A-Za-z0-9]*)(?![\p{L}\p{N}_])"
 RATIOS = {"translation": (0.48, 0.62, 1.75, 2.15), "polish": (0.55, 0.72, 1.30, 1.60), "correction": (0.78, 0.90, 1.12, 1.35)}
 #: Numbers said in words, and abbreviations that a translation replaces.
 SAID = {
@@ -41,34 +45,54 @@ def matches(text: Column, pattern: str) -> Column:
     return F.transform(found, lambda m: F.lower(F.rtrim(m, F.lit(".,;:!?"))))
 
 
+def mails(text: Column) -> Column:
+    """Addresses; a text without their sign isn't searched."""
+    return F.when(F.contains(text, F.lit("@")), matches(text, MAIL)).otherwise(none())
+
+
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with a value that is computed once, however often it is used, also for the elements of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def numbers(text: Column) -> Column:
     return F.transform(matches(text, NUMBER), lambda m: F.regexp_replace(m, r"[\s.,]", ""))
 
 
-def count_of(items: Column, x: Column) -> Column:
-    return F.size(F.filter(items, lambda y: y == x))
+def occurrences(items: Column) -> Column:
+    """Items with the number of their occurrence ahead of them ("1:x", "2:x"), so that those of two arrays can be compared as sets."""
+
+    def numbered(s: Column) -> Column:
+        runs = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda runs, at, j: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(runs, j + 1), F.size(s)) - at), lambda k: F.concat(k.cast("string"), F.lit(":"), F.get(s, at)))
+        return held(runs, lambda r: F.flatten(F.transform(r, lambda at, j: run(r, at, j))))
+
+    return held(F.sort_array(items), lambda s: F.when(F.size(s) > 0, numbered(s)).otherwise(s))
 
 
 def lost(a: Column, b: Column) -> Column:
-    """Distinct items that a has more of than b."""
-    return F.filter(F.array_distinct(a), lambda x: count_of(a, x) > count_of(b, x))
+    """Distinct items that a has more of than b, in a's order."""
+    more = lambda a, b: F.array_intersect(F.array_distinct(a), F.transform(F.array_except(occurrences(a), occurrences(b)), lambda t: F.regexp_extract(t, r"(?s)^\d+:(.*)", 1)))
+    return held(a, lambda a: held(b, lambda b: F.when(a == b, none()).otherwise(more(a, b))))
 
 
 def digits(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]+", "")
 
 
 def unbacked(candidates: Column, other_digits: Column) -> Column:
     """Numbers whose digits don't occur in a row on the other side."""
-    return F.filter(candidates, lambda x: ~F.contains(other_digits, digits(x)))
+    gone = lambda c: held(other_digits, lambda d: F.filter(c, lambda x: ~F.contains(d, digits(x))))
+    return held(candidates, lambda c: F.when(F.size(c) > 0, gone(c)).otherwise(c))
 
 
 def really_lost(candidates: Column, other_digits: Column, other: Column) -> Column:
     """unbacked, without numbers that the other side says in words."""
     words = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(other, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
     words = F.concat(F.lit(" "), words, F.lit(" "))
-    said = lambda x: F.exists(_options(SAID, x), lambda w: F.contains(words, F.concat(F.lit(" "), w, F.lit(" "))))
-    return F.filter(unbacked(candidates, other_digits), lambda x: ~said(x))
+    said = lambda x, words: F.exists(_options(SAID, x), lambda w: F.contains(words, F.concat(F.lit(" "), w, F.lit(" "))))
+    unsaid = lambda c: held(words, lambda w: F.filter(c, lambda x: ~said(x, w)))
+    return held(unbacked(candidates, other_digits), lambda c: F.when(F.size(c) > 0, unsaid(c)).otherwise(c))
 
 
 def _options(table: dict[str, str], key: Column) -> Column:
@@ -78,12 +102,12 @@ def _options(table: dict[str, str], key: Column) -> Column:
 
 def lost_terms(a: Column, b: Column) -> Column:
     """Technical terms of a that b no longer holds in any form: not short ones, nor ones with an equivalent there."""
-    there = F.lower(F.coalesce(b, F.lit("")))
     gone = F.array_except(F.array_distinct(matches(a, TERM)), F.array_distinct(matches(b, TERM)))
     bare = lambda t: F.btrim(t, F.lit("."))
     long = lambda t: F.length(F.replace(t, F.lit("."), F.lit(""))) >= SHORT_TERM
-    other = lambda t: F.exists(_options(SAME, bare(t)), lambda w: F.contains(there, w))
-    return F.sort_array(F.filter(gone, lambda t: long(t) & ~F.contains(there, bare(t)) & ~other(t)))
+    other = lambda t, there: F.exists(_options(SAME, bare(t)), lambda w: F.contains(there, w))
+    left = lambda g: held(F.lower(F.coalesce(b, F.lit(""))), lambda there: F.sort_array(F.filter(g, lambda t: long(t) & ~F.contains(there, bare(t)) & ~other(t, there))))
+    return held(gone, lambda g: F.when(F.size(g) > 0, left(g)).otherwise(g))
 
 
 def listed(items: Column, most: int = 3) -> Column:
@@ -99,30 +123,30 @@ def check(df: DataFrame, source: str, result: str, kind: str = "translation", ot
     Length is compared for sources of eight words or more; the score loses 35 for each critical issue and 12 for each other.
     """
     low, low_fine, high_fine, high = RATIOS[kind]
-    df = df.withColumn("_a", F.trim(F.coalesce(source, F.lit("")))).withColumn("_b", F.trim(F.coalesce(result, F.lit(""))))
+    df = once(df, "_t", F.struct(F.trim(F.coalesce(source, F.lit(""))).alias("a"), F.trim(F.coalesce(result, F.lit(""))).alias("b")))
     word = F.lit(r"[\p{L}\p{N}_'-]+")
-    df = df.withColumn("_na", F.regexp_count("_a", word)).withColumn("_nb", F.regexp_count("_b", word))
-    for side in "ab":
-        df = df.withColumn(f"_n_{side}", numbers(F.col(f"_{side}"))).withColumn(f"_d_{side}", digits(F.col(f"_{side}")))
-        df = df.withColumn(f"_l_{side}", matches(F.col(f"_{side}"), LINK)).withColumn(f"_m_{side}", matches(F.col(f"_{side}"), MAIL))
-        paragraphs = F.filter(F.split(f"_{side}", r"\n\s*\n"), lambda p: F.trim(p) != "")
-        df = df.withColumn(f"_p_{side}", F.size(paragraphs))
-    a, b, ratio = F.col("_a"), F.col("_b"), F.col("_nb") / F.greatest(F.lit(1), F.col("_na"))
-    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_]", ""))
+    paragraphs = lambda t: F.filter(F.split(t, r"\n\s*\n"), lambda p: F.trim(p) != "")
+    found = {"n": lambda t: F.regexp_count(t, word), "numbers": numbers, "links": lambda t: matches(t, LINK), "mails": mails, "p": lambda t: F.size(paragraphs(t))}
+    df = once(df, "_f", F.struct(*[F.struct(*[f(F.col(f"_t.{side}")).alias(k) for k, f in found.items()]).alias(side) for side in "ab"]))
+    a, b, na, nb = F.col("_t.a"), F.col("_t.b"), F.col("_f.a.n"), F.col("_f.b.n")
+    ratio = nb / F.greatest(F.lit(1), na)
+    both = lambda k: (F.col(f"_f.a.{k}"), F.col(f"_f.b.{k}"))
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", ""))
     some = lambda c: F.size(c) > 0
-    long = F.col("_na") >= 8
+    fewer = lambda k: some(lost(*both(k)))
+    more = lambda k: some(lost(*both(k)[::-1]))
+    long = na >= 8
     tests = [
         ("empty", True, b == ""), ("omission", True, long & (ratio < low)), ("invention", True, long & (ratio > high)),
         ("length", False, long & ~(ratio < low) & ~(ratio > high) & ~ratio.between(low_fine, high_fine)),
-        ("unchanged", True, F.lit(kind == "translation" and other_language) & (F.col("_na") >= 5) & (bare(a) == bare(b))),
-        ("missing_numbers", True, some(really_lost(lost(F.col("_n_a"), F.col("_n_b")), F.col("_d_b"), b))),
-        ("invented_numbers", True, some(really_lost(lost(F.col("_n_b"), F.col("_n_a")), F.col("_d_a"), a))),
-        ("missing_links", True, some(lost(F.col("_l_a"), F.col("_l_b")))), ("invented_links", True, some(lost(F.col("_l_b"), F.col("_l_a")))),
-        ("missing_mails", True, some(lost(F.col("_m_a"), F.col("_m_b")))), ("invented_mails", True, some(lost(F.col("_m_b"), F.col("_m_a")))),
-        ("terms", False, some(lost_terms(a, b))), ("paragraphs", False, (F.col("_p_a") > 3) & (F.col("_p_b") * 2 <= F.col("_p_a"))),
+        ("unchanged", True, F.lit(kind == "translation" and other_language) & (na >= 5) & ((a == b) | (bare(a) == bare(b)))),
+        ("missing_numbers", True, some(really_lost(lost(*both("numbers")), digits(b), b))),
+        ("invented_numbers", True, some(really_lost(lost(*both("numbers")[::-1]), digits(a), a))),
+        ("missing_links", True, fewer("links")), ("invented_links", True, more("links")), ("missing_mails", True, fewer("mails")), ("invented_mails", True, more("mails")),
+        ("terms", False, F.when(a != b, some(lost_terms(a, b))).otherwise(False)), ("paragraphs", False, (F.col("_f.a.p") > 3) & (F.col("_f.b.p") * 2 <= F.col("_f.a.p"))),
     ]
     issues = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(c).alias("code"), F.lit(k).alias("critical"))) for c, k, t in tests]))
-    df = df.withColumn("_issues", issues)
+    df = once(df, "_issues", issues)
     bad = F.size(F.filter("_issues", lambda i: i["critical"]))
     mild = F.size("_issues") - bad
     status = F.when(bad > 0, "alert").when(mild > 0, "warning").otherwise("ok")
