@@ -71,3 +71,15 @@ def test_merge_and_segments_on_empty_tables(spark):
     assert merge.last_writer(e, e, "k", "stamp", "deleted").count() == 0
     i = spark.createDataFrame([], "user_id long, id long, start long, end long")
     assert segments.interval_overlaps(i, i, "user_id", 10).count() == 0
+
+
+@pytest.mark.parametrize("name", ["letters_kept"])
+def test_odd_texts_equal_sql(spark, tmp_path, name):
+    """Texts without letters or without a text at all, letters behind the first 4,000 characters, a share on a half of the last place."""
+    texts = ["", None, "...", "?!\n--", "", "Año 7\nB", "12 3", "-\n", "." * 4000 + "a", "Ωμέγα Σ\nΣας", "a" * 41 + "λ" * 599, "x\ny", "𝒜 é\n—", None, " \n", "*\n*"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    rows = lambda rs: sorted(([repr(v) for v in r] for r in rs))
+    assert rows(df.collect()) == rows(con.execute(registry.ORACLES[name]).fetchall())
