@@ -73,7 +73,7 @@ def test_merge_and_segments_on_empty_tables(spark):
     assert segments.interval_overlaps(i, i, "user_id", 10).count() == 0
 
 
-@pytest.mark.parametrize("name", ["letters_kept"])
+@pytest.mark.parametrize("name", ["letters_kept", "script_share"])
 def test_odd_texts_equal_sql(spark, tmp_path, name):
     """Texts without letters or without a text at all, letters behind the first 4,000 characters, a share on a half of the last place."""
     texts = ["", None, "...", "?!\n--", "", "Año 7\nB", "12 3", "-\n", "." * 4000 + "a", "Ωμέγα Σ\nΣας", "a" * 41 + "λ" * 599, "x\ny", "𝒜 é\n—", None, " \n", "*\n*"]
